@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Code points that one chunk of whole texts holds before it is worked on.
@@ -37,7 +38,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = CHUNK)
     """Slices of the batches of about `most` code points (more if one text is longer) with their texts, nulls as empty."""
     for batch in batches:
         column = batch.column(text)
-        sizes = [0 if n is None else n for n in pa.compute.binary_length(column).to_pylist()]
+        sizes = [0 if n is None else n for n in pc.binary_length(column).to_pylist()]
         begin = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > most:
