@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, licences, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op7_licences": licences.op7_licences,
+    "op9_url_filter": url_filter.op9_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_licences": licences.sql(),
+    "op9_url_filter": url_filter.sql(),
+}
