@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontamination, licences, pii, url_filter
+from tidemark.llm import bpe, decontamination, licences, pii, quality, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_quality": quality.op2_quality,
     "op3_pii": pii.op3_pii,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op7_licences": licences.op7_licences,
