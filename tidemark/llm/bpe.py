@@ -140,10 +140,46 @@ def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     return joined, bounds, kind[bounds] == END
 
 
-class Codec:
+class Pieces:
+    """Texts to ids by way of a cache of pieces; what the cache lacks goes to encode_pieces()."""
+
+    def __init__(self) -> None:
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        raise NotImplementedError
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not texts:
+            return []
+        joined, bounds, is_end = boundaries(texts)
+        pieces = [joined[a:b] for a, b in itertools.pairwise(bounds.tolist())]
+        pieces.append("")
+        for i in np.flatnonzero(is_end).tolist():
+            pieces[i] = ""  # a text ends here
+        if len(self.cache) > CACHE:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        cache[""] = ()
+        found = list(map(cache.get, pieces))
+        missing = list(dict.fromkeys(p for p, x in zip(pieces, found) if x is None))
+        if missing:
+            known = list(map(older.get, missing))
+            new = [p for p, x in zip(missing, known) if x is None]
+            cache.update((p, x) for p, x in zip(missing, known) if x is not None)
+            cache.update(zip(new, self.encode_pieces(new)))
+            found = [cache[p] if x is None else x for p, x in zip(pieces, found)]
+        flat = list(itertools.chain.from_iterable(found))
+        count = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        return [flat[a:b] for a, b in itertools.pairwise([0, *count[is_end].tolist()])]
+
+
+class Codec(Pieces):
     """Encodes and decodes by a file of ranks."""
 
     def __init__(self, path: str):
+        super().__init__()
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         most = max(self.ranks.values()) + 1
@@ -152,8 +188,6 @@ class Codec:
             self.bytes[rank] = token
         self.text = [str(i) for i in range(most)]
         self.sizes = np.array([len(x) for x in self.bytes])
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
 
     def short(self, piece: bytes) -> tuple[int, ...]:
         """As merged(), by looking through all pairs at each merge."""
@@ -199,31 +233,8 @@ class Codec:
             i = end[i]
         return tuple(out)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not texts:
-            return []
-        joined, bounds, is_end = boundaries(texts)
-        at = bounds.tolist()
-        pieces = [joined[a:b] for a, b in itertools.pairwise(at)]  # those of text ends are dropped below
-        pieces.append("")
-        for i in np.flatnonzero(is_end).tolist():
-            pieces[i] = ""
-        if len(self.cache) > CACHE:
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        cache[""] = ()
-        found = list(map(cache.get, pieces))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    piece = pieces[i]
-                    if (x := cache.get(piece)) is None:
-                        x = cache[piece] = older.get(piece) or self.merged(piece.encode("utf-8", "surrogatepass"))
-                    found[i] = x
-        flat = list(itertools.chain.from_iterable(found))
-        count = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        cuts = [0, *count[is_end].tolist()]
-        return [flat[a:b] for a, b in itertools.pairwise(cuts)]
+    def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        return [self.merged(p.encode("utf-8", "surrogatepass")) for p in pieces]
 
     def offsets(self, ids: list[int]) -> np.ndarray:
         """Where each token starts in the encoded text, in bytes, and its end."""

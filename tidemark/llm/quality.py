@@ -271,7 +271,7 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[
     posterior, _, _ = accuracies(pattern, count, labellers)
     total = int(count.sum())
     # the part of all hashes that leaves about as many documents as the bound
-    top = int(-(2**63) + 2**64 * min(1.0, sample / max(total, 1)) - 1)
+    top = min(2**63 - 1, int(2**64 * min(1.0, sample / max(total, 1))) - 2**63)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontamination, licences, pii, quality, url_filter
+from tidemark.llm import bpe, decontamination, licences, pii, quality, token_files, top_k, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_quality": quality.op2_quality,
     "op3_pii": pii.op3_pii,
     "op4_decontaminate": decontamination.op4_decontaminate,
+    "op5_token_files": token_files.op5_token_files,
     "op7_licences": licences.op7_licences,
+    "op8_top_k": top_k.op8_top_k,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_licences": licences.sql(),
+    "op8_top_k": top_k.sql(),
     "op9_url_filter": url_filter.sql(),
 }
