@@ -119,8 +119,8 @@ def kinds() -> np.ndarray:
     return out
 
 
-def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The texts joined, where pieces start or texts end, and which of these are ends of texts."""
+def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined, their code points, where pieces start or texts end, and which of these are ends of texts."""
     joined = "\0".join([*texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(x) + 1 for x in texts]) - 1
@@ -137,7 +137,45 @@ def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     begins = starts[np.append(FRESH, state[:-1]), kind]
     begins[ends] = True
     bounds = np.flatnonzero(begins)
-    return joined, bounds, kind[bounds] == END
+    return joined, points, bounds, kind[bounds] == END
+
+
+#: Of 8 bytes the first 0 to 8.
+FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def alike(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of slice, and of each slice its kind. Slices of up to 32 bytes are compared as words of 8 bytes; longer ones as they are."""
+    view = np.ndarray((len(data) + 1,), "<u8", buffer=data + bytes(40), strides=(1,))
+    size = end - begin
+    words = [size.astype(np.uint64)]
+    for skip in range(0, 32, 8):
+        words.append(view[np.minimum(begin + skip, len(data))] & FIRST_BYTES[np.clip(size - skip, 0, 8)])
+    if len(long := np.flatnonzero(size > 32)):
+        seen: dict[bytes, int] = {}
+        words.append(np.zeros(len(size), np.uint64))
+        words[-1][long] = [seen.setdefault(data[a:b], len(seen)) for a, b in zip(begin[long].tolist(), end[long].tolist())]
+    key = words[0]
+    for w in words[1:]:
+        key = (key ^ w) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(order)]
+    unlike = np.zeros(len(order), bool)
+    for w in words:
+        own = w[order]
+        unlike[1:] |= own[1:] != own[:-1]
+    if (unlike & ~new).any():  # different slices of the same key: sort by the words themselves
+        order = np.lexsort(words[::-1])
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for w in words:
+            own = w[order]
+            new[1:] |= own[1:] != own[:-1]
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
 
 
 class Pieces:
@@ -150,29 +188,38 @@ class Pieces:
     def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
         raise NotImplementedError
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each text begin, and the end."""
         if not texts:
-            return []
-        joined, bounds, is_end = boundaries(texts)
-        pieces = [joined[a:b] for a, b in itertools.pairwise(bounds.tolist())]
-        pieces.append("")
-        for i in np.flatnonzero(is_end).tolist():
-            pieces[i] = ""  # a text ends here
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        joined, points, bounds, is_end = boundaries(texts)
+        data = joined.encode("utf-8", "surrogatepass")
+        at = np.append(bounds, len(joined))
+        place = at if len(data) == len(joined) else np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])[at]
+        piece = np.flatnonzero(~is_end)
+        first, kind = alike(data, place[piece], place[piece + 1])
+        names = [joined[a:b] for a, b in zip(at[piece[first]].tolist(), at[piece[first] + 1].tolist())]
         if len(self.cache) > CACHE:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
-        cache[""] = ()
-        found = list(map(cache.get, pieces))
-        missing = list(dict.fromkeys(p for p, x in zip(pieces, found) if x is None))
-        if missing:
+        found = list(map(cache.get, names))
+        if missing := [p for p, x in zip(names, found) if x is None]:
             known = list(map(older.get, missing))
             new = [p for p, x in zip(missing, known) if x is None]
             cache.update((p, x) for p, x in zip(missing, known) if x is not None)
             cache.update(zip(new, self.encode_pieces(new)))
-            found = [cache[p] if x is None else x for p, x in zip(pieces, found)]
-        flat = list(itertools.chain.from_iterable(found))
-        count = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        return [flat[a:b] for a, b in itertools.pairwise([0, *count[is_end].tolist()])]
+            found = [cache[p] if x is None else x for p, x in zip(names, found)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum()))
+        count = size[kind]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.arange(int(total[-1])) + np.repeat((np.cumsum(size) - size)[kind] - total[:-1], count)]
+        # pieces up to the end of each text
+        return ids, np.concatenate([[0], total[np.cumsum(~is_end)[is_end]]])
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, cuts = self.encode_flat(texts)
+        return [ids[a:b].tolist() for a, b in itertools.pairwise(cuts.tolist())]
 
 
 class Codec(Pieces):

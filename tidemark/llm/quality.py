@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.llm.common import chunks, table
 
@@ -295,7 +296,7 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(weak, pa.float64()), pa.array(found, pa.float64())], names=[*part.schema.names[:3], "weak", "score"])
 
     whole = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.struct(F.lit(0).alias("_none"), *keep).alias("_rest"))
-    schema = whole.schema.add("weak", "double").add("score", "double")
+    schema = StructType([*whole.schema.fields, StructField("weak", DoubleType()), StructField("score", DoubleType())])
     out = whole.mapInArrow(score, schema)
     return out.select(F.col("_key").alias(key), *(F.col(f"_rest.`{c}`").alias(c) for c in keep), F.col("_text").alias(text), F.col("weak"), F.col("score"), (F.col("score") >= KEEP).alias("good"))
 

@@ -51,12 +51,22 @@ class Library(Pieces):
     def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
         return [tuple(x.ids) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def encode_texts(self, texts: list[str]) -> list[list[int]]:
-        whole = [i for i, x in enumerate(texts) if any(t in x for t in self.added)]
-        out = self.encode(["" if i in set(whole) else x for i, x in enumerate(texts)] if whole else texts)
-        for i in whole:
-            out[i] = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
-        return out
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_flat(), with END behind the ids of each text."""
+        whole = {i: self.tokenizer.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts) if any(t in x for t in self.added)}
+        ids, cuts = self.encode_flat(["" if i in whole else x for i, x in enumerate(texts)] if whole else texts)
+        sizes = np.diff(cuts)
+        for i, own in whole.items():
+            sizes[i] = len(own)
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        out = np.full(int(starts[-1]), END, np.int32)
+        place = np.ones(len(out), bool)
+        place[starts[1:] - 1] = False
+        for i, own in whole.items():
+            out[starts[i] : starts[i + 1] - 1] = own
+            place[starts[i] : starts[i + 1]] = False
+        out[place] = ids
+        return out, starts
 
 
 @functools.cache
@@ -78,11 +88,8 @@ def write(df: DataFrame, to: str, path: str | None = None, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard, before = library(path), TaskContext.get().partitionId(), 0
         for part, texts in chunks(batches):
-            ids = own.encode_texts(texts)
-            sizes = np.array([len(x) + 1 for x in ids], np.int64)
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            flat = np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable((x, (END,)) for x in ids)), np.int32, int(starts[-1]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(ids), shard, np.int32)), pa.array(starts[:-1] + before), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))], names=[key, "shard", "before", "ids"])
+            flat, starts = own.encode_texts(texts)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(texts), shard, np.int32)), pa.array(starts[:-1] + before), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))], names=[key, "shard", "before", "ids"])
             before += int(starts[-1])
 
     encoded = dealt.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, shard int, before bigint, ids array<int>")
