@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontamination, licences, pii, quality, token_files, top_k, url_filter
+from tidemark.llm import bpe, decontamination, licences, near_dedup, pii, quality, token_files, top_k, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_licences": licences.op7_licences,
     "op8_top_k": top_k.op8_top_k,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
