@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontamination, licences, near_dedup, pii, quality, token_files, top_k, url_filter
+from tidemark.llm import bpe, decontamination, licences, near_dedup, pii, quality, repeats, token_files, top_k, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op5_token_files": token_files.op5_token_files,
+    "op6_repeats": repeats.op6_repeats,
     "op7_licences": licences.op7_licences,
     "op8_top_k": top_k.op8_top_k,
     "op9_url_filter": url_filter.op9_url_filter,
