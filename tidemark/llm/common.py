@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Code points that one chunk of whole texts holds before it is worked on.
 CHUNK = 1 << 20
@@ -51,5 +52,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = CHUNK)
             yield part, [x or "" for x in part.column(text).to_pylist()]
 
 
-def no_rows(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+def packed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_key, _text, _doc): the other columns in one struct, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`").alias(c) for c in df.columns if c != text]
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(*rest).alias("_doc"))
+
+
+def unpacked(df: DataFrame, like: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of `like`, with the texts of df, and n_chars, where there is such a column, counted anew."""
+    columns = {c: F.col(f"_doc.`{c}`") for c in like.columns if c != text} | {text: F.col("_text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("_text").cast(like.schema["n_chars"].dataType)
+    return df.select(*(columns[c].alias(c) for c in like.columns))
