@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, near_dedup, pii, quality
-from tidemark.llm.common import packed, stored, table, unpacked
+from tidemark.llm.common import packed, recounted, stored, table, unpacked
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that of the least id."""
-    return unpacked(near_dedup.first_of_classes(packed(docs), "_key", "_text"), docs)
+    return near_dedup.first_of_classes(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +34,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         return texts.combine(spans, lambda x, s: decontamination.without(x, list(s)))
 
     kept = found.where((F.size("spans") == 0) | (decontamination.hit_words() < F.col("n_words")))
-    return unpacked(kept.withColumn("_text", F.when(F.size("spans") > 0, cut("_text", "spans")).otherwise(F.col("_text"))), docs)
+    return recounted(unpacked(kept.withColumn("_text", F.when(F.size("spans") > 0, cut("_text", "spans")).otherwise(F.col("_text"))), docs))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and the terms that disclose it, replaced."""
-    return unpacked(pii.sanitise(packed(docs), "_key", "_text"), docs)
+    return recounted(pii.sanitise(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,8 +59,10 @@ def packed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def unpacked(df: DataFrame, like: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of `like`, with the texts of df, and n_chars, where there is such a column, counted anew."""
-    columns = {c: F.col(f"_doc.`{c}`") for c in like.columns if c != text} | {text: F.col("_text")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.length("_text").cast(like.schema["n_chars"].dataType)
-    return df.select(*(columns[c].alias(c) for c in like.columns))
+    """The columns of `like`, with the texts of df."""
+    return df.select(*(F.col("_text" if c == text else f"_doc.`{c}`").alias(c) for c in like.columns))
+
+
+def recounted(df: DataFrame, text: str = "text") -> DataFrame:
+    """n_chars, where there is such a column, as the text has them."""
+    return df.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else df

@@ -11,10 +11,9 @@ stays empty, ranks twice as high are taken.
 Texts of the same words are one node. Bands of signature values put nodes into buckets. In each bucket
 the most central node (the one whose buckets are the fullest) is held against the others: a star, not
 all pairs. Pairs are checked exactly, by both texts, and links of the threshold or more are joined into
-components. Buckets that hold several components after that take a second star for each component; in
-what is still left all pairs of different components are taken whose signatures agree half or more. So
-no link within a bucket that could join two classes goes unseen, and at a similarity of 0.8 two texts
-share no bucket about three times in a million.
+components. In buckets that hold several components after that, all pairs of different components follow,
+each in the first bucket that its texts share, if their whole signatures agree far enough. At a similarity
+of 0.8 two texts share no bucket about three times in a million.
 
 Edge cases: texts of one to four words are one shingle; null and empty texts, and texts without words,
 are alike only where they are the same text (null counts as empty); repeated rows are copies; keys may
@@ -33,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, stored, table
+from tidemark.llm.common import chunks, packed, stored, table, unpacked
 from tidemark.llm.decontamination import SYMBOLS
 from tidemark.llm.quality import hashed, mixed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-COORDINATES = BANDS * ROWS
+#: Values of a signature; the bands take the first BANDS * ROWS, an estimate of similarity all.
+COORDINATES = 160
+#: Pairs of different components are checked if their signatures agree so far; two texts of SIMILARITY fail this about 7 times in 10,000.
+ESTIMATE = 0.7
 #: Darts that a text throws at first.
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 LOWEST = 2.0**-6
@@ -150,12 +152,12 @@ def bands(rows: np.ndarray) -> np.ndarray:
     """A hash of each band of each signature."""
     out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * SALT, (len(rows), 1))
     for r in range(ROWS):
-        out = mixed(out * SALT + rows[:, r::ROWS])
+        out = mixed(out * SALT + rows[:, r : BANDS * ROWS : ROWS])
     return out.view(np.int64)
 
 
 def sketched(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, digest, bands, values): of each row its node, band hashes, and one byte of each signature value."""
+    """(key, digest, bands, values): of each row its node, band hashes, and the low byte of each signature value."""
     one = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +166,10 @@ def sketched(df: DataFrame, key: str, text: str) -> DataFrame:
             rows = signatures(own.doc, own.shingle, own.weight, len(texts))
             some = own.n_words > 0
             hashes = pa.array([b if s else None for b, s in zip(bands(rows), some)], pa.list_(pa.int64()))
-            values = [v.tobytes() for v in (rows & np.uint64(255)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest_of(x) for x in texts], pa.binary()), hashes, pa.array(values, pa.binary())], names=[key, "digest", "bands", "values"])
+            values = pa.FixedSizeListArray.from_arrays(pa.array((rows & np.uint64(255)).astype(np.uint8).view(np.int8).ravel()), COORDINATES).cast(pa.list_(pa.int8()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest_of(x) for x in texts], pa.binary()), hashes, values], names=[key, "digest", "bands", "values"])
 
-    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, digest binary, bands array<bigint>, values binary")
+    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, digest binary, bands array<bigint>, values array<tinyint>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -214,9 +216,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def agreement(a: Column, b: Column) -> Column:
-    """Bytes that two signatures share."""
-    pairs = F.zip_with(F.split(F.hex(a), "(?<=\\G..)"), F.split(F.hex(b), "(?<=\\G..)"), lambda x, y: (x == y).cast("int"))
-    return F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
+    """Values that two signatures share."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+
+
+def first_shared(a: Column, b: Column) -> Column:
+    """The first band, from 1, in which two nodes stand together."""
+    return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True)
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -224,7 +230,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     rows = stored(sketched(df, key, text))
     nodes = rows.where("bands IS NOT NULL").groupBy("digest").agg(F.first("bands").alias("bands"), F.first("values").alias("values"))
     nodes = stored(nodes)
-    member = nodes.select("digest", F.explode("bands").alias("bucket"))
+    member = nodes.select("digest", F.posexplode("bands").alias("band", "bucket")).withColumn("band", F.col("band") + 1)
     shared = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     member = stored(member.join(shared, "bucket"))
     degree = member.groupBy("digest").agg(F.sum("size").alias("degree"))
@@ -236,27 +242,18 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     pairs = ordered_pairs(member.join(leader, "bucket"), "leader", "digest")
     links = stored(checked(pairs, digest, least))
     labels = components(links)
-    for last in (False, True):
-        # buckets that hold several components
-        own = member.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-        open_ = own.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("bucket")
-        own = stored(own.join(open_, "bucket"))
-        if own.isEmpty():
-            break
-        signed = own.join(nodes.select("digest", "values"), "digest")
-        if not last:
-            heads = signed.groupBy("bucket", "label").agg(F.max(F.struct("degree", "digest", "values")).alias("head")).select("bucket", F.col("label").alias("_label"), F.col("head.digest").alias("head"), F.col("head.values").alias("_values"))
-        else:
-            heads = signed.select("bucket", F.col("label").alias("_label"), F.col("digest").alias("head"), F.col("values").alias("_values"))
-        met = signed.join(heads, "bucket").where((F.col("label") != F.col("_label")) & (agreement(F.col("values"), F.col("_values")) >= COORDINATES // 2))
-        fresh = ordered_pairs(met, "head", "digest").join(pairs, ["a", "b"], "left_anti")
-        fresh = stored(fresh)
-        if fresh.isEmpty():
-            continue
-        found = stored(checked(fresh, digest, least))
-        pairs = pairs.unionAll(fresh)
-        links = links.unionAll(found)
-        labels = components(links)
+    # buckets that hold several components
+    own = member.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    open_ = own.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("bucket")
+    own = stored(own.join(open_, "bucket").select("bucket", "band", "digest", "label"))
+    if not own.isEmpty():
+        signed = own.join(nodes, "digest")
+        other = signed.select("bucket", *(F.col(c).alias(f"_{c}") for c in ("digest", "label", "bands", "values")))
+        fit = (F.col("digest") < F.col("_digest")) & (F.col("label") != F.col("_label")) & (first_shared(F.col("bands"), F.col("_bands")) == F.col("band")) & (agreement(F.col("values"), F.col("_values")) >= math.ceil(ESTIMATE * COORDINATES))
+        met = signed.alias("s").join(other.alias("o"), (F.col("s.bucket") == F.col("o.bucket")) & fit).select(F.col("digest").alias("a"), F.col("_digest").alias("b"))
+        fresh = stored(met.join(pairs, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            labels = components(links.unionAll(stored(checked(fresh, digest, least))))
     return rows.select(key, "digest").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
 
 
@@ -285,14 +282,15 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_of_classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """df with one row of each class: of its rows of the least key (null before all) one of the least text."""
-    found = classes(df, key, text, least)
-    kept = found.groupBy("label").agg(F.min(F.struct(key, "digest")).alias("kept")).select(F.col(f"kept.{key}").alias("_key"), F.hex("kept.digest").alias("_digest"))
+    whole = packed(df, key, text)
+    found = classes(whole, "_key", "_text", least)
+    kept = found.groupBy("label").agg(F.min(F.struct("_key", "digest")).alias("kept")).select(F.col("kept._key").alias("_first"), F.hex("kept.digest").alias("_of"))
 
     @F.pandas_udf("string")
     def named(texts):
         return texts.map(lambda x: digest_of(x or "").hex().upper())
 
-    own = df.withColumn("_digest", named(F.col(text).cast("string")))
-    one = own.join(kept, (own["_digest"] == kept["_digest"]) & own[key].eqNullSafe(kept["_key"]), "left_semi")
-    place = F.row_number().over(Window.partitionBy(key, "_digest").orderBy(F.col(text).asc_nulls_first()))
-    return one.withColumn("_place", place).where("_place = 1").select(*df.columns)
+    own = whole.withColumn("_digest", named(F.col("_text").cast("string")))
+    one = own.join(kept, (F.col("_digest") == F.col("_of")) & F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("_key", "_digest").orderBy(F.col("_text").asc_nulls_first()))
+    return unpacked(one.withColumn("_place", place).where("_place = 1"), df, text)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, stored, table
+from tidemark.llm.common import chunks, packed, stored, table, unpacked
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Added spans, behind the base kinds in order.
@@ -205,14 +205,15 @@ def redacted(text: str, found: list[tuple[int, int, int]]) -> str:
 
 def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """df with the personal data and the disclosing terms of its texts replaced; null texts stay null."""
-    found = spans(df, key, text, **thresholds).select("_row", F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_row"])
-    one = df.withColumn("_row", row_id(key, text)).join(found, "_row", "left").drop("_row")
+    own = packed(df, key, text)
+    found = spans(own, "_key", "_text", **thresholds).select("_row", F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_row"])
+    one = own.withColumn("_row", row_id("_key", "_text")).join(found, "_row", "left")
 
     @F.pandas_udf("string")
     def replace(texts, spans):
         return texts.combine(spans, lambda x, s: x if x is None or s is None else redacted(x, [(r["start"], r["end"], r["kind"]) for r in s]))
 
-    return one.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(replace(F.col(text).cast("string"), "_spans"))).select(*df.columns)
+    return unpacked(one.withColumn("_text", F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(replace(F.col("_text").cast("string"), "_spans"))), df, text)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
