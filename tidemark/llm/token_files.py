@@ -11,8 +11,8 @@ holds.
 
 Edge cases: a null or empty text holds END alone; null document ids come first; rows of the same id stand
 in order of a hash of their texts, repeated rows side by side; an empty table gives an empty result;
-other columns are ignored. A text is encoded piece by piece through a cache, and by the library as a
-whole if it holds the string of an added token, which the library tells from ordinary text.
+other columns are ignored. A text is encoded piece by piece: the library's model takes the pieces that a
+cache lacks, and the library the whole text if it holds the string of an added token.
 """
 
 from __future__ import annotations
@@ -37,8 +37,17 @@ END = 0
 STRIDE, STRIPE_BYTES = 1000, 16 << 20
 
 
+def alphabet() -> dict[int, str]:
+    """The characters by which the byte-level model names bytes: printable ones of Latin-1 stand for themselves, the others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Library(Pieces):
-    """The tokenizers library over the pieces that the cache lacks."""
+    """The tokenizers library's model over the pieces that the cache lacks."""
+
+    ALPHABET = str.maketrans(alphabet())
 
     def __init__(self, path: str):
         super().__init__()
@@ -49,7 +58,8 @@ class Library(Pieces):
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(x.ids) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        model, names = self.tokenizer.model, self.ALPHABET
+        return [tuple([t.id for t in model.tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(names))]) for p in pieces]
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As encode_flat(), with END behind the ids of each text."""
