@@ -92,4 +92,4 @@ def local_regression(df: DataFrame, by: Sequence[str] = (), value: str = "value"
         return pdf.assign(trend=loess(t, pdf[value].to_numpy(float), f=f, niter=niter, d=d, weights=weights, equal_spacing=equal_spacing))
 
     schema = StructType([*df.schema.fields, StructField("trend", DoubleType())])
-    return df.groupBy(*(by or [F.lit(1)])).applyInPandas(fit, schema)
+    return df.groupBy(*(by or [F.lit("all")])).applyInPandas(fit, schema)

@@ -80,7 +80,7 @@ def npdf_transform(ref: DataFrame, hist: DataFrame, sim: DataFrame, variables: S
         out[list(variables)] = (s * spread + mean).T
         return out
 
-    return _three(ref, hist, sim, keep).groupBy(*(by or [F.lit(1)])).applyInPandas(run, _schema(ref, keep, "").rstrip(", "))
+    return _three(ref, hist, sim, keep).groupBy(*(by or [F.lit("all")])).applyInPandas(run, _schema(ref, keep, "").rstrip(", "))
 
 
 def mbcn(ref: DataFrame, hist: DataFrame, sim: DataFrame, variables: Sequence[str], kinds: dict[str, str] | None = None, group: str = "time", window: int = 1, n_iter: int = 20, nquantiles: int = 20, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
@@ -249,4 +249,4 @@ def extreme_values(ref: DataFrame, hist: DataFrame, sim: DataFrame, scen: DataFr
         out[value] = np.where(over > 0, tau * adjusted + (1 - tau) * out[value], out[value])
         return out
 
-    return four.groupBy(*(by or [F.lit(1)])).applyInPandas(run, _schema(ref, keep, "").rstrip(", "))
+    return four.groupBy(*(by or [F.lit("all")])).applyInPandas(run, _schema(ref, keep, "").rstrip(", "))
