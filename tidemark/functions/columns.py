@@ -101,6 +101,17 @@ def linear(x: Column, xq: Column, yq: Column, constant: bool = True) -> Column:
     return F.when(x < first, low).when(x > last, high).when(x.isNotNull(), inner)
 
 
+def cubic(x: Column, xq: Column, yq: Column, bend: Column, constant: bool = True) -> Column:
+    """A cubic spline at x by its second derivatives at the knots; beyond the ends as linear()."""
+    below = F.size(F.filter(xq, lambda k: k <= x))
+    i = F.greatest(F.lit(1), F.least(below, F.size(xq) - 1)) - 1
+    x0, x1, y0, y1, m0, m1 = (F.get(a, j) for a in (xq, yq, bend) for j in (i, i + 1))
+    h, t = x1 - x0, x - x0
+    inner = y0 + t * ((y1 - y0) / h - h * (2 * m0 + m1) / 6) + t * t * m0 / 2 + t * t * t * (m1 - m0) / (6 * h)
+    low, high = (F.get(yq, F.lit(0)), F.get(yq, F.size(yq) - 1)) if constant else (F.lit(None), F.lit(None))
+    return F.when(x < F.get(xq, F.lit(0)), low).when(x > F.get(xq, F.size(xq) - 1), high).when(x.isNotNull(), inner)
+
+
 def to_additive(x: Column, lower: float, upper: float | None = None, trans: str = "log", clip: str | None = None) -> Column:
     """log: ln(x - lower); logit: ln(p / (1 - p)) of p = (x - lower) / (upper - lower); bounds give infinities.
 

@@ -263,12 +263,11 @@ def interp_nearest(x: np.ndarray, xq: np.ndarray, yq: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(x), np.nan, yq[np.searchsorted((xq[1:] + xq[:-1]) / 2, x, "left")])
 
 
-def cubic_spline(xq: np.ndarray, yq: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """Not-a-knot cubic spline; below four knots the polynomial through all of them."""
+def bends(xq: np.ndarray, yq: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots of the not-a-knot cubic spline; with three knots of the parabola, with fewer none."""
     n = len(xq)
     if n < 4:
-        p = np.polynomial.Polynomial.fit(xq, yq, n - 1)
-        return lambda x: p(x)
+        return np.full(n, 2 * np.polyfit(xq, yq, 2)[0] if n == 3 else 0.0)
     h, slope = np.diff(xq), np.diff(yq) / np.diff(xq)
     a, b = np.zeros((n, n)), np.zeros(n)
     for i in range(1, n - 1):
@@ -276,7 +275,13 @@ def cubic_spline(xq: np.ndarray, yq: np.ndarray) -> Callable[[np.ndarray], np.nd
         b[i] = 6 * (slope[i] - slope[i - 1])
     a[0, :3] = h[1], -(h[0] + h[1]), h[0]
     a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = np.linalg.solve(a, b)
+    return np.linalg.solve(a, b)
+
+
+def cubic_spline(xq: np.ndarray, yq: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The spline of bends() as a function."""
+    n, m = len(xq), bends(xq, yq)
+    h, slope = np.diff(xq), np.diff(yq) / np.diff(xq)
 
     def at(x: np.ndarray) -> np.ndarray:
         i = np.clip(np.searchsorted(xq, x, "right") - 1, 0, n - 2)

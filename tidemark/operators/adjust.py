@@ -13,10 +13,13 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.functions.kernels import bends
 from tidemark.operators import detrend as D
 from tidemark.operators import processing as P
 from tidemark.operators import stats
@@ -129,18 +132,25 @@ def interpolate(df: DataFrame, table: DataFrame, x: str, xq: Column | str, yq: s
     groups are one apart there, the groups being cyclic; of equally near ones that of the least group,
     then quantile. Values beyond the knots of their own group get its end factors, or NULL. same_knots: all
     groups share their knots, so that one's own group always is as near as any.
-    linear: between the knots of both neighbouring groups, then between these groups.
+    linear, cubic: between the knots of both neighbouring groups, cubic by a spline a group, then linearly
+    between these groups. Knots that meet are one knot of a spline.
     """
     g = Grouper.of(group)
     constant = extrapolation == "constant"
     if extrapolation not in ("constant", "nan"):
         raise ValueError("extrapolation is constant or nan")
-    if interp not in ("nearest", "linear"):
-        raise ValueError("interp is nearest or linear")
+    if interp not in ("nearest", "linear", "cubic"):
+        raise ValueError("interp is nearest, linear or cubic")
     knots = table.select(*by, "grp", (F.col(xq) if isinstance(xq, str) else xq).alias("_xq"), F.col(yq).alias("_yq"))
+    look_up = lambda i: C.linear(F.col(x), F.col(f"_x{i}"), F.col(f"_y{i}"), constant)
+    if interp == "cubic":
+        knots = with_bends(knots)
+        look_up = lambda i: C.cubic(F.col(x), F.col(f"_x{i}")["x"], F.col(f"_x{i}")["y"], F.col(f"_x{i}")["m"], constant)
     value = F.col(x)
     if g.group == "time" or interp == "nearest":
         own = df.withColumn("grp", g.key()).join(knots, [*by, "grp"], "left")
+        if interp == "cubic":
+            return own.withColumn("_x0", F.col("_xq")).withColumn(out, look_up(0)).drop("_xq", "_yq", "_x0", "grp")
         first, last = F.get("_xq", F.lit(0)), F.get("_xq", F.size("_xq") - 1)
         ends = lambda inner: F.when(value < first, F.get("_yq", F.lit(0)) if constant else None).when(value > last, F.get("_yq", F.size("_yq") - 1) if constant else None).otherwise(inner)
         if interp == "linear":
@@ -165,10 +175,25 @@ def interpolate(df: DataFrame, table: DataFrame, x: str, xq: Column | str, yq: s
     own = own.join(padded.select(*by, F.col("grp").alias("_low"), F.col("_xq").alias("_x0"), F.col("_yq").alias("_y0")), [*by, "_low"], "left")
     own = own.withColumn("_high", F.col("_low") + 1).join(padded.select(*by, F.col("grp").alias("_high"), F.col("_xq").alias("_x1"), F.col("_yq").alias("_y1")), [*by, "_high"], "left")
     part = F.col("_index") - F.col("_low")
-    low, high = (C.linear(value, F.col(f"_x{i}"), F.col(f"_y{i}"), constant) for i in (0, 1))
+    low, high = look_up(0), look_up(1)
     return own.withColumn(out, F.when(part == 0, low).otherwise(low + part * (high - low))).drop("_index", "_low", "_high", "_x0", "_x1", "_y0", "_y1")
 
 
+def with_bends(knots: DataFrame) -> DataFrame:
+    """The small table of knots with `_xq` as a struct of distinct knots, their values and the spline's second derivatives."""
+
+    @F.pandas_udf("x array<double>, y array<double>, m array<double>")
+    def bend(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(xs, ys):
+            x, first = np.unique(np.asarray(x, float), return_index=True)
+            y = np.asarray(y, float)[first]
+            rows.append((x, y, bends(x, y)))
+        return pd.DataFrame(rows, columns=["x", "y", "m"])
+
+    return knots.withColumn("_xq", bend("_xq", "_yq"))
+
+
 def _readied(model: Model, sim: DataFrame) -> DataFrame:
     """sim after frequency adaptation, and `_keep` where the tail factor leaves values as they are."""
     p = model.params
