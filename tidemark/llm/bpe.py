@@ -28,7 +28,7 @@ from tidemark.llm.common import chunks, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that each of the two generations of a worker's cache holds.
-CACHE = 400_000
+CACHE = 250_000
 NEVER = 1 << 30
 #: Code points with the White_Space property.
 WHITE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
@@ -181,6 +181,8 @@ def alike(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray,
 class Pieces:
     """Texts to ids by way of a cache of pieces; what the cache lacks goes to encode_pieces()."""
 
+    most = CACHE
+
     def __init__(self) -> None:
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -188,6 +190,10 @@ class Pieces:
     def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
         raise NotImplementedError
 
+    def forget(self) -> None:
+        """Frees the cache: a worker process outlives its task, and later stages need the memory."""
+        self.cache, self.older = {}, {}
+
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where those of each text begin, and the end."""
         if not texts:
@@ -199,7 +205,7 @@ class Pieces:
         piece = np.flatnonzero(~is_end)
         first, kind = alike(data, place[piece], place[piece + 1])
         names = [joined[a:b] for a, b in zip(at[piece[first]].tolist(), at[piece[first] + 1].tolist())]
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.most:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
         found = list(map(cache.get, names))
@@ -283,7 +289,7 @@ class Codec(Pieces):
     def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
         return [self.merged(p.encode("utf-8", "surrogatepass")) for p in pieces]
 
-    def offsets(self, ids: list[int]) -> np.ndarray:
+    def offsets(self, ids: list[int] | np.ndarray) -> np.ndarray:
         """Where each token starts in the encoded text, in bytes, and its end."""
         return np.concatenate([[0], np.cumsum(self.sizes[np.asarray(ids, np.int64)])])
 
@@ -306,13 +312,16 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     """(key, ids array<int>, offsets array<long>): of each text its token ids, and where each token starts in the UTF-8 text and the last one ends."""
     path = path or default_path()
     one = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    schema = pa.schema([("ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for part, texts in chunks(batches):
-            ids = own.encode(texts)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, schema.types[0]), pa.array([own.offsets(x) for x in ids], schema.types[1])], names=[key, "ids", "offsets"])
+            ids, cuts = own.encode_flat(texts)
+            # each text has one offset more than ids
+            places = np.concatenate([np.zeros(0, np.int64), *(own.offsets(ids[a:b]) for a, b in itertools.pairwise(cuts.tolist()))])
+            offsets = pa.ListArray.from_arrays(pa.array((cuts + np.arange(len(cuts))).astype(np.int32)), pa.array(places))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), offsets], names=[key, "ids", "offsets"])
+        own.forget()
 
     return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, offsets array<bigint>")
 
@@ -345,6 +354,7 @@ def digests(df: DataFrame, path: str | None = None, key: str = "doc_id", text: s
                 decoded_sha.append(hashlib.sha256(whole := own.decode(ids)).hexdigest())
                 sizes.append(len(whole))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=[key, "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens bigint, n_bytes bigint, ids_sha256 string, decoded_sha256 string")
 

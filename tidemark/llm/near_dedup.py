@@ -161,7 +161,7 @@ def sketched(df: DataFrame, key: str, text: str) -> DataFrame:
     one = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, most=1 << 19):
             own = Shingled(texts)
             rows = signatures(own.doc, own.shingle, own.weight, len(texts))
             some = own.n_words > 0

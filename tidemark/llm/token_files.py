@@ -48,6 +48,7 @@ class Library(Pieces):
     """The tokenizers library's model over the pieces that the cache lacks."""
 
     ALPHABET = str.maketrans(alphabet())
+    most = 400_000
 
     def __init__(self, path: str):
         super().__init__()
