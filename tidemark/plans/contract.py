@@ -140,6 +140,68 @@ def loci_month(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("site", "time", "hist_thresh", "scen"), "hist_thresh", "scen")
 
 
+def at_knots(i: int) -> str:
+    return linear_sql("value", f"p{i}.hist_q", f"p{i}.af")
+
+
+@query("eqm_month_linear", f"""WITH {TABLE.format(g='month(time)', n=N20, c='p[2] - p[1]')}, pads AS (SELECT * FROM model UNION ALL SELECT site, 0, hist_q, af FROM model WHERE grp = 12 UNION ALL SELECT site, 13, hist_q, af FROM model WHERE grp = 1),
+    s AS (SELECT site, time, value, {INDEX} AS ix FROM sim), b AS (SELECT s.site, time, value, ix - floor(ix) AS part, {at_knots(0)} AS lo, {at_knots(1)} AS hi FROM s LEFT JOIN pads p0 ON p0.site = s.site AND p0.grp = floor(ix) LEFT JOIN pads p1 ON p1.site = s.site AND p1.grp = floor(ix) + 1)
+    SELECT site, time, {R6('value + CASE WHEN part = 0 THEN lo ELSE lo + part * (hi - lo) END')} AS scen FROM b""")
+def eqm_month_linear(spark: SparkSession, sf: str) -> DataFrame:
+    s = Series(spark, sf)
+    model = A.train("eqm", s.ref, s.hist, nquantiles=20, kind="+", group="time.month", by=BY)
+    return rounded(model.adjust(s.sim, interp="linear").select("site", "time", "scen"), "scen")
+
+
+def widened_sql(source: str, half: int) -> str:
+    """SQL of grouping.grouped() by day of the year with a window of 2 half + 1 steps."""
+    k = f"(SELECT *, row_number() OVER (PARTITION BY site ORDER BY time) AS k FROM {source})"
+    return f"(SELECT s.site, s.time, s.value, dayofyear(t.time) AS grp, s.k = t.k AS main FROM {k} t JOIN {k} s ON s.site = t.site AND s.k BETWEEN t.k - {half} AND t.k + {half})"
+
+
+@query("eqm_doy_window", f"""WITH hq AS (SELECT site, grp, quantile_cont(value, {N10}) AS hist_q FROM {widened_sql('hist', 7)} GROUP BY ALL), rq AS (SELECT site, grp, quantile_cont(value, {N10}) AS ref_q FROM {widened_sql('ref', 7)} GROUP BY ALL),
+    m AS (SELECT site, grp, hist_q, list_transform(list_zip(hist_q, ref_q), lambda p: p[2] - p[1]) AS af FROM hq JOIN rq USING (site, grp)) SELECT site, grp::INTEGER AS grp, {R6('hist_q[1]')} AS first_q, {R6('hist_q[10]')} AS last_q, {R6('af[5]')} AS middle_af FROM m""")
+def eqm_doy_window(spark: SparkSession, sf: str) -> DataFrame:
+    s = Series(spark, sf)
+    table = A.train("eqm", s.ref, s.hist, nquantiles=10, group=Grouper("time.dayofyear", 15), by=BY).table
+    return rounded(table.select("site", "grp", F.get("hist_q", F.lit(0)).alias("first_q"), F.get("hist_q", F.lit(9)).alias("last_q"), F.get("af", F.lit(4)).alias("middle_af")), "first_q", "last_q", "middle_af")
+
+
+@query("qdm_rank_window", f"""WITH w AS {widened_sql('sim', 2)}, q AS {rank_sql('w', 'value', 'site, grp', 'sim_q')} SELECT site, time, {R6('sim_q')} AS sim_q FROM q WHERE main""")
+def qdm_rank_window(spark: SparkSession, sf: str) -> DataFrame:
+    s = Series(spark, sf)
+    model = A.train("qdm", s.ref, s.hist, nquantiles=10, group=Grouper("time.dayofyear", 5), by=BY)
+    return rounded(model.adjust(s.sim, rank_window=True).select("site", "time", "sim_q"), "sim_q")
+
+
+@query("dqm_month_add", f"""WITH m AS (SELECT site, month(time) AS grp, quantile_cont(value, {N20}) AS h, avg(value) AS mh FROM hist GROUP BY ALL), n AS (SELECT site, month(time) AS grp, quantile_cont(value, {N20}) AS r, avg(value) AS mr FROM ref GROUP BY ALL),
+    model AS (SELECT site, grp, list_transform(h, lambda q: q - mh) AS hist_q, list_transform(list_zip(h, r), lambda p: (p[2] - mr) - (p[1] - mh)) AS af, mr - mh AS scaling FROM m JOIN n USING (site, grp)),
+    x AS (SELECT sim.site, time, month(time) AS g, value + scaling AS x, epoch(time::TIMESTAMP) / 86400.0::DOUBLE AS t FROM sim LEFT JOIN model ON model.site = sim.site AND grp = month(time)),
+    a AS (SELECT site, g, avg(t) AS mt, avg(x) AS mx FROM x GROUP BY ALL), b AS (SELECT x.site, x.g, mt, mx, sum((t - mt) * (x - mx)) / sum((t - mt) * (t - mt)) AS slope FROM x JOIN a ON a.site = x.site AND a.g = x.g GROUP BY ALL),
+    d AS (SELECT x.*, mx + slope * (t - mt) AS trend FROM x JOIN b ON b.site = x.site AND b.g = x.g), e AS (SELECT site, time, g, trend, x - trend AS value FROM d),
+    pads AS (SELECT site, grp, hist_q, af FROM model UNION ALL SELECT site, 0, hist_q, af FROM model WHERE grp = 12 UNION ALL SELECT site, 13, hist_q, af FROM model WHERE grp = 1), knots AS (SELECT site, grp, unnest(hist_q) AS xq, unnest(af) AS yq, generate_subscripts(hist_q, 1) AS i FROM pads),
+    near AS (SELECT e.site, e.time, e.value, e.trend, e.g AS grp, arg_min(yq, {{'d': (e.value - xq) * (e.value - xq) + (e.g - knots.grp) * (e.g - knots.grp), 'g': knots.grp, 'i': i}}) AS inner_af FROM e JOIN knots ON e.site = knots.site GROUP BY ALL)
+    SELECT site, time, {R6('trend')} AS trend, {R6('value + CASE WHEN value < hist_q[1] THEN af[1] WHEN value > hist_q[-1] THEN af[-1] ELSE inner_af END + trend')} AS scen FROM near LEFT JOIN model USING (site, grp)""")
+def dqm_month(spark: SparkSession, sf: str) -> DataFrame:
+    s = Series(spark, sf)
+    model = A.train("dqm", s.ref, s.hist, nquantiles=20, kind="+", group="time.month", by=BY)
+    return rounded(model.adjust(s.sim).select("site", "time", "trend", "scen"), "trend", "scen")
+
+
+@query("eqm_time_cubic")
+def eqm_cubic(spark: SparkSession, sf: str) -> DataFrame:
+    s = Series(spark, sf)
+    model = A.train("eqm", s.ref, s.hist, nquantiles=20, kind="+", by=BY)
+    return rounded(model.adjust(s.sim, interp="cubic").select("site", "time", "scen"), "scen")
+
+
+@query("outer_alignment", f"SELECT coalesce(ref.site, hist.site) AS site, coalesce(ref.time, hist.time) AS time, {R6('ref.value')} AS ref, {R6('hist.value')} AS hist FROM ref FULL JOIN hist ON ref.site = hist.site AND ref.time = hist.time")
+def alignment(spark: SparkSession, sf: str) -> DataFrame:
+    s = Series(spark, sf)
+    both = s.ref.select("site", "time", F.col("value").alias("ref")).join(s.hist.select("site", "time", F.col("value").alias("hist")), ["site", "time"], "full")
+    return rounded(both, "ref", "hist")
+
+
 # before and after
 
 @query("adapt_freq_time", f"""WITH r AS (SELECT site, avg((value <= 120)::INT) AS p0r FROM ref GROUP BY ALL), h AS (SELECT site, avg((value <= 120)::INT) AS p0h FROM hist GROUP BY ALL),
@@ -341,6 +403,15 @@ def unstack_periods(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.unstack_periods(T.stack_periods(own, 3, 1, by=BY), 3, 1, BY), "value")
 
 
+@query("rescale_days", f"""WITH m AS (SELECT site, dayofyear(time) AS doy, avg(value) AS v FROM hist GROUP BY ALL), x AS (SELECT *, 1 + (doy - 1) * (359 / 365.0::DOUBLE) AS x, row_number() OVER (PARTITION BY site ORDER BY doy) AS k FROM m),
+    y AS (SELECT *, lead(x) OVER w AS x1, lead(v) OVER w AS v1 FROM x WINDOW w AS (PARTITION BY site ORDER BY doy)), d AS (SELECT unnest(range(1, 361))::INTEGER AS d),
+    z AS (SELECT site, d, v, x, x1, v1 FROM y JOIN d ON d >= CASE WHEN k = 1 THEN 1 ELSE ceil(x - 1e-9) END AND d <= CASE WHEN x1 IS NULL THEN 360 ELSE ceil(x1 - 1e-9) - 1 END)
+    SELECT site, d AS doy, {R6('CASE WHEN d < x OR x1 IS NULL THEN v ELSE v + (d - x) / (x1 - x) * (v1 - v) END')} AS value FROM z""")
+def rescale_days(spark: SparkSession, sf: str) -> DataFrame:
+    own = Series(spark, sf).hist.groupBy("site", F.dayofyear("time").alias("doy")).agg(F.avg("value").alias("value"))
+    return rounded(T.rescale_days(own, 360, BY), "value")
+
+
 # trends
 
 @query("mean_detrend", f"SELECT site, time, {R6('value - avg(value) OVER (PARTITION BY site, (month(time) % 12) // 3)')} AS value FROM hist")
