@@ -271,3 +271,20 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     out = found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", contaminated())
+
+
+def words_sql(text: str) -> str:
+    """SQL of words()."""
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def sql() -> str:
+    return f"""
+    WITH w AS (SELECT doc_id, {words_sql('text')} AS w FROM documents), b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {words_sql('text')} AS w FROM benchmark),
+    p AS (SELECT DISTINCT item, least({WINDOW}, len(w)) AS n, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS phrase FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS i FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT n FROM p), d AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, sizes WHERE len(w) >= n),
+    h AS (SELECT doc_id, i, d.n, item FROM d JOIN p ON p.n = d.n AND p.phrase = array_to_string(w[i:i + d.n - 1], ' ')),
+    c AS (SELECT doc_id, count(DISTINCT k)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(DISTINCT item)::BIGINT AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM h GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import chunks, packed, stored, table, unpacked
-from tidemark.llm.decontamination import SYMBOLS
+from tidemark.llm.decontamination import SYMBOLS, words_sql
 from tidemark.llm.quality import hashed, mixed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -294,3 +294,16 @@ def first_of_classes(df: DataFrame, key: str = "doc_id", text: str = "text", lea
     one = own.join(kept, (F.col("_digest") == F.col("_of")) & F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
     place = F.row_number().over(Window.partitionBy("_key", "_digest").orderBy(F.col("_text").asc_nulls_first()))
     return unpacked(one.withColumn("_place", place).where("_place = 1"), df, text)
+
+
+def sql() -> str:
+    """All pairs that share a shingle, and all that links lead to: for small tables."""
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, {words_sql('text')} AS w FROM documents),
+    s AS (SELECT doc_id, shingle, count(*) AS c FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS shingle FROM w) GROUP BY ALL),
+    n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS m FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE m / (x.n + y.n - m)::DOUBLE >= {SIMILARITY} UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.text = y.text AND x.doc_id < y.doc_id WHERE len(x.w) = 0),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+    SELECT x AS doc_id, min(y) AS class_id, count(*) AS class_size, x = min(y) AS is_first FROM r GROUP BY x"""

@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": decontamination.sql(),
     "op7_licences": licences.sql(),
     "op8_top_k": top_k.sql(),
     "op9_url_filter": url_filter.sql(),
+    "op10_near_dedup": near_dedup.sql(),
 }
