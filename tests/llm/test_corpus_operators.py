@@ -228,6 +228,22 @@ def test_near_dedup(spark):
     assert near_dedup.first_of_classes(df.limit(0)).collect() == []
 
 
+def test_pairs_of_open_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 2, (120, near_dedup.COORDINATES)).astype(np.int8)
+    values[:60] = values[0]
+    values[:60, :40] = rng.integers(0, 9, (60, 40))
+    bucket = [i % 3 for i in range(120)]
+    label = [i % 5 for i in range(120)]
+    name = lambda i: f"{i:03}".encode()
+    df = spark.createDataFrame([(b, name(i), name(c), v.tolist()) for i, (b, c, v) in enumerate(zip(bucket, label, values))], "bucket long, digest binary, label binary, values array<tinyint>")
+    want = {(name(i), name(j)) for i in range(120) for j in range(i + 1, 120) if bucket[i] == bucket[j] and label[i] != label[j] and (values[i] == values[j]).sum() >= near_dedup.ESTIMATE * near_dedup.COORDINATES}
+    assert len(want) > 100
+    for cell in (near_dedup.CELL, 7):
+        monkeypatch.setattr(near_dedup, "CELL", cell)
+        assert {(bytes(r.a), bytes(r.b)) for r in near_dedup.open_pairs(df).collect()} == want
+
+
 def test_one_of_repeated_rows_stays(spark):
     df = spark.createDataFrame([Row(doc_id=None, text="a b c")] * 3 + [Row(doc_id=1, text="a b c"), Row(doc_id=2, text=None), Row(doc_id=2, text=None)], "doc_id long, text string")
     assert near_dedup.first_of_classes(df).count() == 2

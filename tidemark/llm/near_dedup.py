@@ -11,9 +11,9 @@ stays empty, ranks twice as high are taken.
 Texts of the same words are one node. Bands of signature values put nodes into buckets. In each bucket
 the most central node (the one whose buckets are the fullest) is held against the others: a star, not
 all pairs. Pairs are checked exactly, by both texts, and links of the threshold or more are joined into
-components. In buckets that hold several components after that, all pairs of different components follow,
-each in the first bucket that its texts share, if their whole signatures agree far enough. At a similarity
-of 0.8 two texts share no bucket about three times in a million.
+components. In buckets that hold several components after that, pairs of different components follow if
+their whole signatures agree far enough. At a similarity of 0.8 two texts share no bucket about three
+times in a million.
 
 Edge cases: texts of one to four words are one shingle; null and empty texts, and texts without words,
 are alike only where they are the same text (null counts as empty); repeated rows are copies; keys may
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import chunks, packed, stored, table, unpacked
@@ -39,9 +39,9 @@ from tidemark.llm.quality import hashed, mixed
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Values of a signature; the bands take the first BANDS * ROWS, an estimate of similarity all.
-COORDINATES = 160
-#: Pairs of different components are checked if their signatures agree so far; two texts of SIMILARITY fail this about 7 times in 10,000.
-ESTIMATE = 0.7
+COORDINATES = 224
+#: Pairs of different components are checked if their signatures agree so far; two texts of SIMILARITY fail this about 3 times in 1,000.
+ESTIMATE = 0.725
 #: Darts that a text throws at first.
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 LOWEST = 2.0**-6
@@ -215,14 +215,80 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def agreement(a: Column, b: Column) -> Column:
-    """Values that two signatures share."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+#: Nodes of a bucket that meet the others of a cell.
+CELL = 2048
+
+
+def agreeing(values: np.ndarray, label: np.ndarray, block: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different labels whose signatures share `least` values; of two blocks only pairs across."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    cross = block.max() > block.min()
+    rows = np.flatnonzero(block == block.min()) if cross else np.arange(len(block))
+    for begin in range(0, len(rows), 32):
+        own = rows[begin : begin + 32]
+        against = np.flatnonzero(block == block.max()) if cross else np.arange(own[0] + 1, len(block))
+        same = (values[own, None, :] == values[None, against, :]).sum(axis=2)
+        i, j = np.nonzero((same >= least) & (label[own, None] != label[None, against]))
+        i, j = own[i], against[j]
+        keep = slice(None) if cross else i < j
+        left.append(i[keep])
+        right.append(j[keep])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def open_pairs(signed: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components in a bucket whose signatures agree far enough.
+
+    signed: (bucket, digest, label, values). A bucket is dealt out in cells of two blocks of nodes, so that
+    none of its size comes to one task; signatures are compared as arrays, and only agreeing pairs leave.
+    """
+    sizes = signed.groupBy("bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("_n"))
+    block = F.pmod(F.xxhash64("digest", "bucket"), F.col("_n")).cast("int")
+    own = signed.join(sizes, "bucket").withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    own = own.select("bucket", F.least("block", "_o").alias("_i"), F.greatest("block", "_o").alias("_j"), "block", "digest", "label", "values")
+    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.repartition(n, "bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j", "digest")
 
-
-def first_shared(a: Column, b: Column) -> Column:
-    """The first band, from 1, in which two nodes stand together."""
-    return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = math.ceil(ESTIMATE * COORDINATES)
+
+        def pairs(cells: pa.Table) -> Iterator[pa.RecordBatch]:
+            cells = cells.combine_chunks()
+            keys = np.stack([cells[c].to_numpy() for c in ("bucket", "_i", "_j")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), cells.num_rows]
+            values = cells["values"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+            label = np.unique(np.array(cells["label"].to_pylist(), object), return_inverse=True)[1] if cells.num_rows else np.zeros(0)
+            block = cells["block"].to_numpy()
+            left, right = [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b - a > 1 and (label[a:b] != label[a]).any():
+                    i, j = agreeing(values[a:b], label[a:b], block[a:b], least)
+                    left.append(i + a)
+                    right.append(j + a)
+            if left:
+                digest = cells["digest"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([digest.take(pa.array(np.concatenate(x))) for x in (left, right)], names=["a", "b"])
+
+        # whole cells at a time: what may go on in the next batch is held
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch.column(i)[batch.num_rows - 1].as_py() for i in range(3)]
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            other = np.flatnonzero((keys != np.array(last)[:, None]).any(axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and (cut or [held[-1].column(i)[0].as_py() for i in range(3)] != last):
+                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from pairs(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    found = dealt.mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -230,7 +296,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     rows = stored(sketched(df, key, text))
     nodes = rows.where("bands IS NOT NULL").groupBy("digest").agg(F.first("bands").alias("bands"), F.first("values").alias("values"))
     nodes = stored(nodes)
-    member = nodes.select("digest", F.posexplode("bands").alias("band", "bucket")).withColumn("band", F.col("band") + 1)
+    member = nodes.select("digest", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     member = stored(member.join(shared, "bucket"))
     degree = member.groupBy("digest").agg(F.sum("size").alias("degree"))
@@ -245,12 +311,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     # buckets that hold several components
     own = member.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     open_ = own.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("bucket")
-    own = stored(own.join(open_, "bucket").select("bucket", "band", "digest", "label"))
+    own = stored(own.join(open_, "bucket").select("bucket", "digest", "label"))
     if not own.isEmpty():
-        signed = own.join(nodes, "digest")
-        other = signed.select("bucket", *(F.col(c).alias(f"_{c}") for c in ("digest", "label", "bands", "values")))
-        fit = (F.col("digest") < F.col("_digest")) & (F.col("label") != F.col("_label")) & (first_shared(F.col("bands"), F.col("_bands")) == F.col("band")) & (agreement(F.col("values"), F.col("_values")) >= math.ceil(ESTIMATE * COORDINATES))
-        met = signed.alias("s").join(other.alias("o"), (F.col("s.bucket") == F.col("o.bucket")) & fit).select(F.col("digest").alias("a"), F.col("_digest").alias("b"))
+        met = open_pairs(own.join(nodes.select("digest", "values"), "digest").select("bucket", "digest", "label", "values"))
         fresh = stored(met.join(pairs, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
             labels = components(links.unionAll(stored(checked(fresh, digest, least))))
