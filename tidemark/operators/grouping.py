@@ -63,9 +63,9 @@ def grouped(df: DataFrame, group: str | Grouper, by: Sequence[str] = (), time: s
 def cyclic(df: DataFrame, group: str | Grouper) -> DataFrame:
     """A table of groups with its last and first group again at either end, one step out."""
     labels = Grouper.of(group).labels
-    before = df.where(F.col("grp") == labels[-1]).withColumn("grp", F.lit(labels[0] - 1))
-    after = df.where(F.col("grp") == labels[0]).withColumn("grp", F.lit(labels[-1] + 1))
-    return df.unionByName(before).unionByName(after)
+    first, last = labels[0], labels[-1]
+    places = F.array_compact(F.array(F.col("grp"), F.when(F.col("grp") == last, first - 1), F.when(F.col("grp") == first, last + 1)))
+    return df.withColumn("grp", F.explode(places))
 
 
 def broadcast_groups(df: DataFrame, table: DataFrame, group: str | Grouper, value: str, by: Sequence[str] = (), time: str = "time", interp: str = "nearest", out: str = "factor") -> DataFrame:
