@@ -41,7 +41,7 @@ LENGTH, GRAM = 400, 128
 GRAMS = LENGTH - GRAM + 1
 WIDTH = LENGTH - GRAM
 #: Documents of a shard.
-SHARD = 1000
+SHARD = 500
 
 
 def extreme(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -172,7 +172,7 @@ def squeezed(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            texts = [None if x is None else compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()]
+            texts = [compress(x.as_py().encode("utf-8", "surrogatepass")) if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], names=["_row", "_text", "_key"])
 
     return one.mapInArrow(run, f"_row binary, _text binary, _key {df.schema[key].dataType.simpleString()}")
@@ -292,9 +292,13 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def with_spans(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_key, compressed _text, spans) of all rows."""
+    return squeezed(df, key, text).join(find(df, key, text), "_row", "left").select("_key", "_text", "spans")
+
+
 def removed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, spans): each text with the merged runs of bytes to remove."""
-    joined = squeezed(df, key, text).join(find(df, key, text), "_row", "left").select("_key", "_text", "spans")
+    """(key, text, spans): each text with the runs of bytes to remove, as they overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
@@ -303,20 +307,22 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 texts = [None if x is None else expand(x).decode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), part.column(2)], names=[key, text, "spans"])
 
-    return joined.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, `{text}` string, spans array<struct<begin: int, end: int>>")
+    return with_spans(df, key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, `{text}` string, spans array<struct<begin: int, end: int>>")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = removed(table(spark, sf_dir, "documents"))
+    found = with_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
             out = []
-            for x, spans in zip(texts, part.column(2).to_pylist()):
-                data = x.encode("utf-8", "surrogatepass")
-                cuts = union([(s["begin"], s["end"]) for s in spans or []])
+            for x, spans in zip(batch.column(1), batch.column(2)):
+                data = expand(x.as_py()) if x.is_valid else b""
+                cuts = union([(s["begin"], s["end"]) for s in spans.as_py() or []])
                 kept = [data[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(data)])]
                 out.append((len(data), sum(b - a for a, b in cuts), len(cuts), hashlib.sha256(b"".join(kept)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return found.mapInArrow(run, f"doc_id {found.schema['_key'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
