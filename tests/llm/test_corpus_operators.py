@@ -236,12 +236,15 @@ def test_pairs_of_open_buckets(spark, monkeypatch):
     bucket = [i % 3 for i in range(120)]
     label = [i % 5 for i in range(120)]
     name = lambda i: f"{i:03}".encode()
-    df = spark.createDataFrame([(b, name(i), name(c), v.tolist()) for i, (b, c, v) in enumerate(zip(bucket, label, values))], "bucket long, digest binary, label binary, values array<tinyint>")
+    # the same bucket again under another number: its pairs count once
+    bands = [[b, b + 10, *(-1 - i * 100 - k for k in range(near_dedup.BANDS - 2))] for i, b in enumerate(bucket)]
+    df = spark.createDataFrame([(b + more, name(i), name(c), own, v.tolist()) for more in (0, 10) for i, (b, c, own, v) in enumerate(zip(bucket, label, bands, values))], "bucket long, digest binary, label binary, bands array<bigint>, values array<tinyint>")
     want = {(name(i), name(j)) for i in range(120) for j in range(i + 1, 120) if bucket[i] == bucket[j] and label[i] != label[j] and (values[i] == values[j]).sum() >= near_dedup.ESTIMATE * near_dedup.COORDINATES}
     assert len(want) > 100
     for cell in (near_dedup.CELL, 7):
         monkeypatch.setattr(near_dedup, "CELL", cell)
-        assert {(bytes(r.a), bytes(r.b)) for r in near_dedup.open_pairs(df).collect()} == want
+        found = near_dedup.open_pairs(df)
+        assert {(bytes(r.a), bytes(r.b)) for r in found.collect()} == want
 
 
 def test_one_of_repeated_rows_stays(spark):

@@ -239,13 +239,14 @@ def agreeing(values: np.ndarray, label: np.ndarray, block: np.ndarray, least: in
 def open_pairs(signed: DataFrame) -> DataFrame:
     """(a, b): pairs of different components in a bucket whose signatures agree far enough.
 
-    signed: (bucket, digest, label, values). A bucket is dealt out in cells of two blocks of nodes, so that
+    signed: (bucket, digest, label, bands, values). A pair counts in the first bucket that both share. A
+    bucket is dealt out in cells of two blocks of nodes, so that
     none of its size comes to one task; signatures are compared as arrays, and only agreeing pairs leave.
     """
     sizes = signed.groupBy("bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("_n"))
     block = F.pmod(F.xxhash64("digest", "bucket"), F.col("_n")).cast("int")
     own = signed.join(sizes, "bucket").withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    own = own.select("bucket", F.least("block", "_o").alias("_i"), F.greatest("block", "_o").alias("_j"), "block", "digest", "label", "values")
+    own = own.select("bucket", F.least("block", "_o").alias("_i"), F.greatest("block", "_o").alias("_j"), "block", "digest", "label", "bands", "values")
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = own.repartition(n, "bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j", "digest")
 
@@ -256,6 +257,7 @@ def open_pairs(signed: DataFrame) -> DataFrame:
             cells = cells.combine_chunks()
             keys = np.stack([cells[c].to_numpy() for c in ("bucket", "_i", "_j")])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), cells.num_rows]
+            bands = cells["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             values = cells["values"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
             label = np.unique(np.array(cells["label"].to_pylist(), object), return_inverse=True)[1] if cells.num_rows else np.zeros(0)
             block = cells["block"].to_numpy()
@@ -263,8 +265,11 @@ def open_pairs(signed: DataFrame) -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b - a > 1 and (label[a:b] != label[a]).any():
                     i, j = agreeing(values[a:b], label[a:b], block[a:b], least)
-                    left.append(i + a)
-                    right.append(j + a)
+                    i, j = i + a, j + a
+                    first = (bands[i] == bands[j]).argmax(axis=1)
+                    here = bands[i, first] == keys[0, a]
+                    left.append(i[here])
+                    right.append(j[here])
             if left:
                 digest = cells["digest"].combine_chunks()
                 yield pa.RecordBatch.from_arrays([digest.take(pa.array(np.concatenate(x))) for x in (left, right)], names=["a", "b"])
@@ -313,7 +318,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     open_ = own.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("bucket")
     own = stored(own.join(open_, "bucket").select("bucket", "digest", "label"))
     if not own.isEmpty():
-        met = open_pairs(own.join(nodes.select("digest", "values"), "digest").select("bucket", "digest", "label", "values"))
+        met = open_pairs(own.join(nodes, "digest").select("bucket", "digest", "label", "bands", "values"))
         fresh = stored(met.join(pairs, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
             labels = components(links.unionAll(stored(checked(fresh, digest, least))))
