@@ -72,6 +72,15 @@ def test_pii_frames(spark):
     assert pii.spans(df.limit(0)).collect() == []
 
 
+def test_entities_of_few_documents_have_terms(spark):
+    texts = [f"{prose(random.Random(i), 40, 60)} the" for i in range(400)]
+    texts += ["w1x the gazebo of once@one.org the w2x", *["w3x the marmot of twice@two.org the w4x"] * 5]
+    got = {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.added} for r in pii.spans(documents(spark, texts)).collect()}
+    assert {"gazebo"} <= got[400] <= {"gazebo", "of"}  # in one document
+    assert all({"marmot"} <= got[i] <= {"marmot", "of"} for i in range(401, 406))  # in copies
+    assert not any(got[i] for i in range(400))
+
+
 # decontamination
 
 

@@ -3,15 +3,16 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value found is an
 entity to protect. Terms are the words around its occurrences; over the whole corpus
 
-    n(t, e)   distinct contexts of e that hold t (copies of a context count once)
+    n(t, e)   documents that hold t around e
     n(t)      documents that hold t
-    n(e)      distinct contexts of e
+    n(e)      documents that hold e
     N         documents
 
-give the pointwise mutual information PMI(t; e) = log(N n(t,e) / (n(t) n(e))), and the information
-content IC(e) = log(N / n(e)). A term discloses e as far as PMI(t; e) / IC(e) goes; at `remove` or more
-it is removed, at `generalise` or more it is replaced by a placeholder, both only where n(t, e) reaches
-`support`, so that a word met once beside an address isn't taken for a sign of it.
+give the pointwise mutual information PMI(t; e) = log(N p(t|e) / n(t)), and the information content
+IC(e) = log(N / n(e)). For p(t|e) stands the lower confidence bound (Wilson's, `z` deviates) of n(t,e) in
+n(e), so that few documents count for less and none are left out. A term discloses e as far as
+PMI(t; e) / IC(e) goes; at `remove` or more it is removed, at `generalise` or more it is replaced by a
+placeholder.
 
 The corpus is read once for spans and contexts; that table (small: only texts with personal data have
 contexts) is written to the shared folder and everything else derives from it. Counting n(t) reads the
@@ -24,7 +25,6 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -49,7 +49,9 @@ TERM = re.compile(r"[^\W\d_]{2,}")
 LETTERS = bytes(c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Words on each side of an entity, and characters in which they are sought.
 WORDS, REACH = 8, 160
-SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.85
+GENERALISE, REMOVE = 0.6, 0.85
+#: Deviates of the confidence bound: 99 in 100, two-sided.
+Z = 2.576
 #: Candidate terms that one pass over the words counts.
 BLOCK = 200_000
 
@@ -95,7 +97,7 @@ def entity(text: str, kind: int) -> str:
 
 
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Of each base span its entity, a digest of the terms around, and these terms with their places; words within spans are none."""
+    """Of each base span its entity and the terms around with their places; words within spans are none."""
     out = []
     for start, end, kind in spans:
         low, high = max(0, start - REACH), min(len(text), end + REACH)
@@ -103,13 +105,12 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         right = [m.span() for m in TERM.finditer(text, end, high) if m.end() < high or high == len(text)][:WORDS]
         around = [(a, b) for a, b in left + right if not any(a < y and x < b for x, y, _ in spans)]
         terms = [text[a:b].lower() for a, b in around]
-        digest = hashlib.blake2b(" ".join(terms).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
         own = entity(text[start:end], kind)
-        out.extend({"entity": own, "context": digest, "term": t, "start": a, "end": b} for t, (a, b) in zip(terms, around))
+        out.extend({"entity": own, "term": t, "start": a, "end": b} for t, (a, b) in zip(terms, around))
     return out
 
 
-CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def row_id(key: str, text: str) -> Column:
@@ -129,7 +130,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             spans = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in found], spans_type)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), spans, pa.array(near, CONTEXT)], names=[key, "_row", "base", "contexts"])
 
-    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, _row string, base array<struct<start: int, end: int, kind: int>>, contexts array<struct<entity: string, context: string, term: string, start: int, `end`: int>>")
+    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, _row string, base array<struct<start: int, end: int, kind: int>>, contexts array<struct<entity: string, term: string, start: int, `end`: int>>")
 
 
 def holding(df: DataFrame, terms: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -154,17 +155,24 @@ def holding(df: DataFrame, terms: DataFrame, text: str = "text", block: int = BL
     return out.groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def disclosing(df: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def bounded(k: Column, n: Column, z: float) -> Column:
+    """Wilson's lower confidence bound of a share that k in n show."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def disclosing(df: DataFrame, found: DataFrame, text: str = "text", z: float = Z, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(entity, term, disclosure, kind): the pairs beyond the thresholds."""
-    near = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.context", "c.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    held = found.where(F.size("contexts") > 0)
+    pair = F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))
+    pairs = held.select(F.explode(pair).alias("c")).groupBy("c.entity", "c.term").agg(F.count("*").alias("n_both"))
+    entities = held.select(F.explode(F.array_distinct("contexts.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = stored(pairs.join(entities, "entity"))
     n = found.count()
     total = F.lit(float(max(n, 2)))
     counted = pairs.join(holding(df, pairs.select("term").distinct(), text), "term")
-    # a term is in as many documents as contexts at least; one whose entity is everywhere discloses nothing
-    pmi = F.log(total * F.col("n_both") / (F.greatest("n_docs", "n_both") * F.col("n_entity")))
+    # a term is in as many documents as hold it with an entity at least; one whose entity is everywhere discloses nothing
+    pmi = F.log(total * bounded(F.col("n_both"), F.col("n_entity"), z) / F.greatest("n_docs", "n_both"))
     share = F.when(F.col("n_entity") < total, pmi / F.log(total / F.col("n_entity"))).otherwise(0.0)
     return counted.withColumn("disclosure", share).where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, 5).otherwise(4).alias("kind"))
 
@@ -173,7 +181,7 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", **thresholds)
     """(key, _row, base, added): of each row its base spans and those of disclosing terms, as (start, end, kind); kinds 0 to 3 are KINDS, 4 and 5 TERM_KINDS."""
     found = stored(scan(df, key, text))
     pairs = disclosing(df, found, text, **thresholds)
-    near = found.where(F.size("contexts") > 0).select("_row", F.explode("contexts").alias("c")).select("_row", "c.*").drop("context").distinct()
+    near = found.where(F.size("contexts") > 0).select("_row", F.explode("contexts").alias("c")).select("_row", "c.*").distinct()
     hit = near.join(pairs.select("entity", "term", "kind"), ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("kind").alias("kind"))
     added = hit.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("added"))
     none = F.array().cast("array<struct<start: int, end: int, kind: int>>")
