@@ -81,6 +81,33 @@ def test_entities_of_few_documents_have_terms(spark):
     assert not any(got[i] for i in range(400))
 
 
+def test_terms_are_those_of_whole_documents(spark):
+    texts = [f"{prose(random.Random(i), 40, 60)} the" for i in range(400)] + ["a tapir without an address"] * 2
+    far = prose(random.Random(1), 90, 60)
+    texts += [f"Tapir and OKAPI\n{far} the tapir {far} far@from.org {far} tapir", f"the okapi {far} next@one.org or far@from.org {far} Okapi", f"{far} other@one.org"]
+    df = documents(spark, texts)
+
+    # all pairs by brute force
+    found = [(pii.base_spans(t), [m for m in pii.TERM.finditer(t)]) for t in texts]
+    words = [{m[0].lower() for m in w if not any(m.start() < b and a < m.end() for a, b, _ in s)} for s, w in found]
+    named = [{pii.entity(t[a:b], k) for a, b, k in s} for t, (s, _) in zip(texts, found)]
+    every = Counter(w for t in texts for w in {m[0].lower() for m in pii.TERM.finditer(t)})
+    entities = Counter(e for n in named for e in n)
+    both = Counter((e, w) for n, ws in zip(named, words) for e in n for w in ws)
+
+    def share(e, w):
+        n, k, z = entities[e], both[e, w], pii.Z
+        low = (k / n + z * z / 2 / n - z * (k / n * (1 - k / n) / n + (z / 2 / n) ** 2) ** 0.5) / (1 + z * z / n)
+        return np.log(len(texts) * low / every[w]) / np.log(len(texts) / n)
+
+    want = [[(m.start(), m.end(), max(4 + (share(e, m[0].lower()) >= pii.REMOVE) for e in own)) for m in w if m[0].lower() in ws and (own := [e for e in n if share(e, m[0].lower()) >= pii.GENERALISE])] for (_, w), ws, n in zip(found, words, named)]
+    got = {r.doc_id: [tuple(s) for s in r.added] for r in pii.spans(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    clean = {r.doc_id: r.text.lower() for r in pii.sanitise(df).collect()}
+    assert clean[400] == texts[400] and not any(w in clean[i] for i in range(402, 405) for w in ("okapi", "far@"))
+    assert len(want[402]) >= 2 and clean[402].count("[term]") == len(want[402])
+
+
 # decontamination
 
 

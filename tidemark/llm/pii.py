@@ -1,9 +1,10 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms around them.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value found is an
-entity to protect. Terms are the words around its occurrences; over the whole corpus
+entity to protect. Terms are the words outside base spans of the documents that hold it; over the whole
+corpus
 
-    n(t, e)   documents that hold t around e
+    n(t, e)   documents that hold both t and e
     n(t)      documents that hold t
     n(e)      documents that hold e
     N         documents
@@ -12,11 +13,12 @@ give the pointwise mutual information PMI(t; e) = log(N p(t|e) / n(t)), and the
 IC(e) = log(N / n(e)). For p(t|e) stands the lower confidence bound (Wilson's, `z` deviates) of n(t,e) in
 n(e), so that few documents count for less and none are left out. A term discloses e as far as
 PMI(t; e) / IC(e) goes; at `remove` or more it is removed, at `generalise` or more it is replaced by a
-placeholder.
+placeholder, wherever it stands in a document that holds e. Documents without e keep it: none of them, and
+none of the sanitised ones, has both any more.
 
-The corpus is read once for spans and contexts; that table (small: only texts with personal data have
-contexts) is written to the shared folder and everything else derives from it. Counting n(t) reads the
-words once more, against blocks of candidate terms of a fixed size.
+The corpus is read once for spans, entities and terms; that table (only texts with personal data have
+terms in it, and are themselves there) is written to the shared folder and everything else derives from
+it. Counting n(t) reads the words once more, against blocks of candidate terms of a fixed size.
 
 Edge cases: null and empty texts have no spans; repeated rows get the same spans each and count as
 documents; keys may be null or repeated, as rows are told apart by key and text; an empty table gives an
@@ -47,8 +49,6 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{2,}")
 #: In ASCII texts: letters in lower case, a space for anything else.
 LETTERS = bytes(c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-#: Words on each side of an entity, and characters in which they are sought.
-WORDS, REACH = 8, 160
 GENERALISE, REMOVE = 0.6, 0.85
 #: Deviates of the confidence bound: 99 in 100, two-sided.
 Z = 2.576
@@ -96,21 +96,21 @@ def entity(text: str, kind: int) -> str:
     return f"{KINDS[kind]}:{text.lower() if kind < 2 else re.sub(r'[^0-9]', '', text)}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Of each base span its entity and the terms around with their places; words within spans are none."""
-    out = []
-    for start, end, kind in spans:
-        low, high = max(0, start - REACH), min(len(text), end + REACH)
-        left = [m.span() for m in TERM.finditer(text, low, start) if m.start() > low or not low][-WORDS:]
-        right = [m.span() for m in TERM.finditer(text, end, high) if m.end() < high or high == len(text)][:WORDS]
-        around = [(a, b) for a, b in left + right if not any(a < y and x < b for x, y, _ in spans)]
-        terms = [text[a:b].lower() for a, b in around]
-        own = entity(text[start:end], kind)
-        out.extend({"entity": own, "term": t, "start": a, "end": b} for t, (a, b) in zip(terms, around))
+def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end): the words that no span touches; spans are in order."""
+    out, k, last = [], 0, 0
+    for m in TERM.finditer(text):
+        start, end = m.span()
+        while k < len(spans) and spans[k][0] < end:
+            last = max(last, spans[k][1])
+            k += 1
+        if last <= start:
+            out.append((m[0].lower(), start, end))
     return out
 
 
-CONTEXT = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))
+SPANS_SQL = "array<struct<start: int, `end`: int, kind: int>>"
 
 
 def row_id(key: str, text: str) -> Column:
@@ -119,18 +119,19 @@ def row_id(key: str, text: str) -> Column:
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, _row, base array<struct<start, end, kind>>, contexts): one pass over the texts."""
+    """(key, _row, base array<struct<start, end, kind>>, entities, terms, _held): one pass over the texts; _held is the text where there are spans."""
     one = df.select(F.col(key), F.col(text).cast("string").alias("_text"), row_id(key, text).alias("_row"))
-    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             found = [base_spans(x) for x in texts]
-            near = [contexts(x, s) if s else [] for x, s in zip(texts, found)]
-            spans = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in found], spans_type)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), spans, pa.array(near, CONTEXT)], names=[key, "_row", "base", "contexts"])
+            spans = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in found], SPANS)
+            entities = pa.array([sorted({entity(x[a:b], k) for a, b, k in s}) for x, s in zip(texts, found)], pa.list_(pa.string()))
+            terms = pa.array([sorted({t for t, _, _ in outside(x, s)}) if s else [] for x, s in zip(texts, found)], pa.list_(pa.string()))
+            held = pa.array([x if s else None for x, s in zip(texts, found)], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), spans, entities, terms, held], names=[key, "_row", "base", "entities", "terms", "_held"])
 
-    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, _row string, base array<struct<start: int, end: int, kind: int>>, contexts array<struct<entity: string, term: string, start: int, `end`: int>>")
+    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, _row string, base {SPANS_SQL}, entities array<string>, terms array<string>, _held string")
 
 
 def holding(df: DataFrame, terms: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -147,7 +148,7 @@ def holding(df: DataFrame, terms: DataFrame, text: str = "text", block: int = BL
             if wanted:
                 for _, texts in chunks(batches, text=0):
                     for x in texts:
-                        count.update(wanted.intersection(x.encode().translate(LETTERS).split()) if x.isascii() else wanted.intersection(m.encode("utf-8", "surrogatepass") for m in TERM.findall(x.lower())))
+                        count.update(wanted.intersection(x.encode().translate(LETTERS).split()) if x.isascii() else wanted.intersection(m.lower().encode("utf-8", "surrogatepass") for m in set(TERM.findall(x))))
             yield pa.RecordBatch.from_arrays([pa.array([t.decode() for t in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n_docs"])
 
         one = df.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "term string, n_docs bigint")
@@ -163,10 +164,8 @@ def bounded(k: Column, n: Column, z: float) -> Column:
 
 def disclosing(df: DataFrame, found: DataFrame, text: str = "text", z: float = Z, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(entity, term, disclosure, kind): the pairs beyond the thresholds."""
-    held = found.where(F.size("contexts") > 0)
-    pair = F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))
-    pairs = held.select(F.explode(pair).alias("c")).groupBy("c.entity", "c.term").agg(F.count("*").alias("n_both"))
-    entities = held.select(F.explode(F.array_distinct("contexts.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = found.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = stored(pairs.join(entities, "entity"))
     n = found.count()
     total = F.lit(float(max(n, 2)))
@@ -181,11 +180,25 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", **thresholds)
     """(key, _row, base, added): of each row its base spans and those of disclosing terms, as (start, end, kind); kinds 0 to 3 are KINDS, 4 and 5 TERM_KINDS."""
     found = stored(scan(df, key, text))
     pairs = disclosing(df, found, text, **thresholds)
-    near = found.where(F.size("contexts") > 0).select("_row", F.explode("contexts").alias("c")).select("_row", "c.*").distinct()
-    hit = near.join(pairs.select("entity", "term", "kind"), ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("kind").alias("kind"))
-    added = hit.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("added"))
-    none = F.array().cast("array<struct<start: int, end: int, kind: int>>")
-    return found.drop("contexts").join(added, "_row", "left").withColumn("added", F.coalesce("added", none))
+    kinds = {"generalised": 4, "removed": 5}
+    own = pairs.groupBy("entity").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(f"_{name}") for name, k in kinds.items()))
+    # of the terms of an entity, those in the row
+    near = found.where(F.size("terms") > 0).select("_row", "entities", "terms").dropDuplicates(["_row"]).select("_row", "terms", F.explode("entities").alias("entity"))
+    hit = near.join(own, "entity").select("_row", *(F.array_intersect("terms", f"_{name}").alias(name) for name in kinds))
+    hit = hit.groupBy("_row").agg(*(F.array_distinct(F.flatten(F.collect_list(name))).alias(name) for name in kinds))
+    one = found.select(key, "_row", "base", "_held").join(hit, "_row", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, held, generalised, removed = (batch.column(i).to_pylist() for i in range(2, 6))
+            added = []
+            for spans, x, less, more in zip(base, held, generalised, removed):
+                kind = dict.fromkeys(less or [], 4) | dict.fromkeys(more or [], 5)
+                places = outside(x, [(s["start"], s["end"], s["kind"]) for s in spans]) if kind else []
+                added.append([{"start": a, "end": b, "kind": kind[t]} for t, a, b in places if t in kind])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(added, SPANS)], names=[key, "_row", "base", "added"])
+
+    return one.select(key, "_row", "base", "_held", *kinds).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, _row string, base {SPANS_SQL}, added {SPANS_SQL}")
 
 
 def written(spans_column: Column) -> Column:
