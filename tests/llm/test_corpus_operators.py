@@ -1,6 +1,7 @@
 """Quality, personal data, decontamination, repeats and near-duplicates: against brute force, with edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -264,6 +265,12 @@ def test_near_dedup(spark):
     assert near_dedup.first_of_classes(df.limit(0)).collect() == []
 
 
+def test_estimate_loses_no_more_than_the_bands():
+    k, least, p = near_dedup.COORDINATES, math.ceil(near_dedup.ESTIMATE * near_dedup.COORDINATES), near_dedup.SIMILARITY
+    lost = sum(math.comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(least))
+    assert lost <= (1 - p**near_dedup.ROWS) ** near_dedup.BANDS
+
+
 def test_pairs_of_open_buckets(spark, monkeypatch):
     rng = np.random.default_rng(4)
     values = rng.integers(0, 2, (120, near_dedup.COORDINATES)).astype(np.int8)

@@ -13,7 +13,7 @@ the most central node (the one whose buckets are the fullest) is held against th
 all pairs. Pairs are checked exactly, by both texts, and links of the threshold or more are joined into
 components. In buckets that hold several components after that, pairs of different components follow if
 their whole signatures agree far enough. At a similarity of 0.8 two texts share no bucket about three
-times in a million.
+times in a million, and disagree too far as seldom.
 
 Edge cases: texts of one to four words are one shingle; null and empty texts, and texts without words,
 are alike only where they are the same text (null counts as empty); repeated rows are copies; keys may
@@ -40,8 +40,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Values of a signature; the bands take the first BANDS * ROWS, an estimate of similarity all.
 COORDINATES = 224
-#: Pairs of different components are checked if their signatures agree so far; two texts of SIMILARITY fail this about 3 times in 1,000.
-ESTIMATE = 0.725
+#: Pairs of different components are checked if their signatures agree so far; two texts of SIMILARITY fail this no more often than they share no bucket.
+ESTIMATE = 0.674
 #: Darts that a text throws at first.
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 LOWEST = 2.0**-6
