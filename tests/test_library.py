@@ -20,6 +20,8 @@ from tidemark.operators import processing as P
 from tidemark.operators import properties as R
 from tidemark.operators import stats as S
 from tidemark.operators.grouping import Grouper, grouped, time_blocks
+from tidemark.plans import contract  # noqa: F401  registers its queries
+from tidemark.plans.registry import QUERIES
 from tidemark.sources import series
 from tidemark.streaming.transform import adjust_stream
 
@@ -247,6 +249,14 @@ def test_principal_components_match_covariances(spark):
         assert np.allclose(np.cov(out[["u", "v"]].T), np.cov(a.T)) and np.allclose(out[["u", "v"]].mean(), a.mean(axis=0))
 
 
+def test_queries_turn_as_often_as_the_default(spark, monkeypatch):
+    turned, rotations = [], K.rotations
+    monkeypatch.setattr(K, "rotations", lambda m, n, seed: turned.append(n) or rotations(m, n, seed))
+    for name in ("npdf_transform", "mbcn", "mbcn_5d"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert turned == [20, 20, 20]
+
+
 def test_multivariate_methods_bring_means_near(spark):
     rng = np.random.default_rng(6)
     n = 600

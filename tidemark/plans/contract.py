@@ -692,9 +692,9 @@ def multivariate(name: str, f, **options) -> None:
 
 
 multivariate("principal_components", V.principal_components)
-multivariate("npdf_transform", V.npdf_transform, n_iter=5)
-multivariate("mbcn", V.mbcn, n_iter=5)
-multivariate("mbcn_5d", V.mbcn, n_iter=3, group="5D", window=7)
+multivariate("npdf_transform", V.npdf_transform)
+multivariate("mbcn", V.mbcn)
+multivariate("mbcn_5d", V.mbcn, group="5D", window=7)
 multivariate("otc", V.otc, bin_width=[40.0, 60.0])
 multivariate("dotc", V.dotc, bin_width=[40.0, 60.0])
 
