@@ -11,9 +11,10 @@ stays empty, ranks twice as high are taken.
 Texts of the same words are one node. Bands of signature values put nodes into buckets. In each bucket
 the most central node (the one whose buckets are the fullest) is held against the others: a star, not
 all pairs. Pairs are checked exactly, by both texts, and links of the threshold or more are joined into
-components. In buckets that hold several components after that, pairs of different components follow if
-their whole signatures agree far enough. At a similarity of 0.8 two texts share no bucket about three
-times in a million, and disagree too far as seldom.
+components. Buckets that hold several components after that are dealt out in cells of bounded size; a cell
+counts the common shingles of all its nodes as products of matrices, so that every pair in it is checked
+exactly, and only what ties components together leaves it. Nothing is estimated there: two texts at a
+similarity of 0.8 are missed only where they share no bucket, about three times in a million.
 
 Edge cases: texts of one to four words are one shingle; null and empty texts, and texts without words,
 are alike only where they are the same text (null counts as empty); repeated rows are copies; keys may
@@ -38,10 +39,8 @@ from tidemark.llm.quality import hashed, mixed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Values of a signature; the bands take the first BANDS * ROWS, an estimate of similarity all.
-COORDINATES = 224
-#: Pairs of different components are checked if their signatures agree so far; two texts of SIMILARITY fail this no more often than they share no bucket.
-ESTIMATE = 0.674
+#: Values of a signature.
+COORDINATES = BANDS * ROWS
 #: Darts that a text throws at first.
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 LOWEST = 2.0**-6
@@ -157,7 +156,7 @@ def bands(rows: np.ndarray) -> np.ndarray:
 
 
 def sketched(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, digest, bands, values): of each row its node, band hashes, and the low byte of each signature value."""
+    """(key, digest, bands): of each row its node and band hashes."""
     one = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +165,9 @@ def sketched(df: DataFrame, key: str, text: str) -> DataFrame:
             rows = signatures(own.doc, own.shingle, own.weight, len(texts))
             some = own.n_words > 0
             hashes = pa.array([b if s else None for b, s in zip(bands(rows), some)], pa.list_(pa.int64()))
-            values = pa.FixedSizeListArray.from_arrays(pa.array((rows & np.uint64(255)).astype(np.uint8).view(np.int8).ravel()), COORDINATES).cast(pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest_of(x) for x in texts], pa.binary()), hashes, values], names=[key, "digest", "bands", "values"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest_of(x) for x in texts], pa.binary()), hashes], names=[key, "digest", "bands"])
 
-    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, digest binary, bands array<bigint>, values array<tinyint>")
+    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, digest binary, bands array<bigint>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -215,113 +213,154 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-#: Nodes of a bucket that meet the others of a cell.
-CELL = 2048
+#: Nodes, and shingles of them, that a block holds; a cell has two blocks.
+CELL, CELL_SHINGLES = 1024, 1 << 20
+#: Entries of a matrix of nodes and shingles.
+ENTRIES = 1 << 22
 
 
-def agreeing(values: np.ndarray, label: np.ndarray, block: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different labels whose signatures share `least` values; of two blocks only pairs across."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    cross = block.max() > block.min()
-    rows = np.flatnonzero(block == block.min()) if cross else np.arange(len(block))
-    for begin in range(0, len(rows), 32):
-        own = rows[begin : begin + 32]
-        against = np.flatnonzero(block == block.max()) if cross else np.arange(own[0] + 1, len(block))
-        same = (values[own, None, :] == values[None, against, :]).sum(axis=2)
-        i, j = np.nonzero((same >= least) & (label[own, None] != label[None, against]))
-        i, j = own[i], against[j]
-        keep = slice(None) if cross else i < j
-        left.append(i[keep])
-        right.append(j[keep])
-    return np.concatenate(left), np.concatenate(right)
+def elements(texts: DataFrame) -> DataFrame:
+    """(digest, elements): the shingles of each text, the second of a kind told from the first and so on, so that weights become sets."""
 
-
-def open_pairs(signed: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components in a bucket whose signatures agree far enough.
-
-    signed: (bucket, digest, label, bands, values). A pair counts in the first bucket that both share. A
-    bucket is dealt out in cells of two blocks of nodes, so that
-    none of its size comes to one task; signatures are compared as arrays, and only agreeing pairs leave.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own in chunks(batches):
+            found = Shingled(own)
+            copy = np.arange(int(found.weight.sum())) - np.repeat(np.cumsum(found.weight) - found.weight, found.weight)
+            names = mixed(np.repeat(found.shingle, found.weight) + copy.astype(np.uint64) * SALT).view(np.int64)
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(found.doc, weights=found.weight, minlength=len(own)).astype(np.int64))])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(names))], names=["digest", "elements"])
+
+    return texts.select("digest", "text").mapInArrow(run, "digest binary, elements array<bigint>")
+
+
+def similar(flat: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
+    """Of sets, one behind the other in flat, which pairs have a Jaccard similarity of `least` or more."""
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    ranked, owner = flat[order], owner[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
+    alone = new & np.append(new[1:], True)
+    column = np.cumsum(new & ~alone)[~alone] - 1  # elements of one set only add nothing
+    owner = owner[~alone]
+    both = np.zeros((n, n), np.float32)
+    step = max(1, ENTRIES // max(n, 1))
+    cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + step + 1, step))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        rows, at = np.unique(owner[a:b], return_inverse=True)
+        part = np.zeros((len(rows), step), np.float32)
+        part[at, column[a:b] - k * step] = 1
+        if len(rows) == n:
+            both += part @ part.T
+        else:
+            both[np.ix_(rows, rows)] += part @ part.T
+    linked = np.empty((n, n), bool)
+    for a in range(0, n, 256):
+        own = both[a : a + 256].astype(np.float64)
+        linked[a : a + 256] = own / (sizes[a : a + 256, None] + sizes - own) >= least
+    np.fill_diagonal(linked, True)
+    return linked
+
+
+def ties(label: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Of each node a node that links lead to from its component: the same one for all that hang together."""
+    n_labels = int(label.max()) + 1
+    i, j = np.nonzero(linked)
+    root = np.arange(n_labels)
+    if len(i):
+        a, b = np.unique(np.sort(np.stack([label[i], label[j]]), axis=0), axis=1)
+        while True:
+            least = np.minimum(root[a], root[b])
+            before = root.copy()
+            np.minimum.at(root, before[a], least)
+            np.minimum.at(root, before[b], least)
+            root = root[root]
+            if (root == before).all():
+                break
+    first = np.full(n_labels, len(label))
+    np.minimum.at(first, label, np.arange(len(label)))
+    return first[root[label]]
+
+
+def open_links(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): nodes of different components in a bucket that links lead to from one another.
+
+    own: (bucket, digest, label). A bucket is dealt out in cells of two blocks of nodes, so that none of
+    its size comes to one task; a cell gives no more rows than it has nodes.
     """
-    sizes = signed.groupBy("bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("_n"))
+    sets = stored(elements(texts.join(own.select("digest").distinct(), "digest", "left_semi")))
+    own = own.join(sets.select("digest", F.size("elements").alias("_size")), "digest")
+    sizes = stored(own.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("_size") / CELL_SHINGLES)).cast("int").alias("_n")))
     block = F.pmod(F.xxhash64("digest", "bucket"), F.col("_n")).cast("int")
-    own = signed.join(sizes, "bucket").withColumn("block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    own = own.select("bucket", F.least("block", "_o").alias("_i"), F.greatest("block", "_o").alias("_j"), "block", "digest", "label", "bands", "values")
-    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.repartition(n, "bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j", "digest")
+    own = own.drop("_size").join(sizes, "bucket").withColumn("_block", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    own = own.select("bucket", F.least("_block", "_o").alias("_i"), F.greatest("_block", "_o").alias("_j"), "digest", "label")
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.join(sets, "digest").select("bucket", "_i", "_j", "digest", "label", "elements").repartition(n, "bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = math.ceil(ESTIMATE * COORDINATES)
-
-        def pairs(cells: pa.Table) -> Iterator[pa.RecordBatch]:
+        def found(cells: pa.Table) -> Iterator[pa.RecordBatch]:
             cells = cells.combine_chunks()
             keys = np.stack([cells[c].to_numpy() for c in ("bucket", "_i", "_j")])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), cells.num_rows]
-            bands = cells["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            values = cells["values"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+            sets = cells["elements"].combine_chunks()
+            places, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
             label = np.unique(np.array(cells["label"].to_pylist(), object), return_inverse=True)[1] if cells.num_rows else np.zeros(0)
-            block = cells["block"].to_numpy()
             left, right = [], []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b - a > 1 and (label[a:b] != label[a]).any():
-                    i, j = agreeing(values[a:b], label[a:b], block[a:b], least)
-                    i, j = i + a, j + a
-                    first = (bands[i] == bands[j]).argmax(axis=1)
-                    here = bands[i, first] == keys[0, a]
-                    left.append(i[here])
-                    right.append(j[here])
+                    names = np.unique(label[a:b], return_inverse=True)[1]
+                    to = ties(names, similar(flat[places[a] : places[b]], np.diff(places[a : b + 1]), least))
+                    some = np.flatnonzero(label[a:b] != label[a:b][to])
+                    left.append(some + a)
+                    right.append(to[some] + a)
             if left:
                 digest = cells["digest"].combine_chunks()
                 yield pa.RecordBatch.from_arrays([digest.take(pa.array(np.concatenate(x))) for x in (left, right)], names=["a", "b"])
 
         # whole cells at a time: what may go on in the next batch is held
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
             last = [batch.column(i)[batch.num_rows - 1].as_py() for i in range(3)]
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
             other = np.flatnonzero((keys != np.array(last)[:, None]).any(axis=0))
             cut = int(other[-1]) + 1 if len(other) else 0
             if held and (cut or [held[-1].column(i)[0].as_py() for i in range(3)] != last):
-                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield from found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             elif cut:
-                yield from pairs(pa.Table.from_batches([batch.slice(0, cut)]))
+                yield from found(pa.Table.from_batches([batch.slice(0, cut)]))
             held.append(batch.slice(cut))
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield from found(pa.Table.from_batches(held))
 
-    found = dealt.mapInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(key, digest, label): of each row its node, and the least node of its class."""
+    """(key, digest, label): of each row its node, and the least node of its class.
+
+    What is joined by bucket or label is stored before, so that both sides are plain shuffles, and the
+    optimiser can split a bucket or class that holds a large part of all rows.
+    """
     rows = stored(sketched(df, key, text))
-    nodes = rows.where("bands IS NOT NULL").groupBy("digest").agg(F.first("bands").alias("bands"), F.first("values").alias("values"))
-    nodes = stored(nodes)
-    member = nodes.select("digest", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    member = rows.where("bands IS NOT NULL").groupBy("digest").agg(F.first("bands").alias("bands")).select("digest", F.explode("bands").alias("bucket"))
+    shared = stored(member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     member = stored(member.join(shared, "bucket"))
     degree = member.groupBy("digest").agg(F.sum("size").alias("degree"))
     member = stored(member.drop("size").join(degree, "digest"))
-    # one text for each node that a pair may need, found by key and digest of the rows
-    digest = texts_by_digest(df, member.select("digest").distinct(), text)
+    # one text for each node that a pair may need
+    texts = texts_by_digest(df, member.select("digest").distinct(), text)
 
-    leader = member.groupBy("bucket").agg(F.max(F.struct("degree", "digest")).alias("leader")).select("bucket", F.col("leader.digest").alias("leader"))
-    pairs = ordered_pairs(member.join(leader, "bucket"), "leader", "digest")
-    links = stored(checked(pairs, digest, least))
+    leader = stored(member.groupBy("bucket").agg(F.max(F.struct("degree", "digest")).alias("leader")).select("bucket", F.col("leader.digest").alias("leader")))
+    links = stored(checked(ordered_pairs(member.join(leader, "bucket"), "leader", "digest"), texts, least))
     labels = components(links)
     # buckets that hold several components
-    own = member.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    open_ = own.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("bucket")
-    own = stored(own.join(open_, "bucket").select("bucket", "digest", "label"))
-    if not own.isEmpty():
-        met = open_pairs(own.join(nodes, "digest").select("bucket", "digest", "label", "bands", "values"))
-        fresh = stored(met.join(pairs, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            labels = components(links.unionAll(stored(checked(fresh, digest, least))))
+    own = stored(member.join(labels, "digest", "left").select("bucket", "digest", F.coalesce("label", "digest").alias("label")))
+    open_ = stored(own.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("bucket"))
+    if not open_.isEmpty():
+        more = stored(open_links(stored(own.join(open_, "bucket")), texts, least))
+        if not more.isEmpty():
+            labels = components(links.unionAll(more))
     return rows.select(key, "digest").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
 
 
@@ -331,11 +370,17 @@ def ordered_pairs(df: DataFrame, one: str, other: str) -> DataFrame:
 
 
 def texts_by_digest(df: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(digest, text): one text for each wanted node."""
+    """(digest, text): one text for each wanted node. A task passes each text on once, so that copies don't meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for part, texts in chunks(batches, text=0):
-            yield pa.RecordBatch.from_arrays([pa.array([digest_of(x) for x in texts], pa.binary()), part.column(0)], names=["digest", "text"])
+            new = {}
+            for i, x in enumerate(texts):
+                if (d := digest_of(x)) not in seen:
+                    new[d] = i
+                    seen.add(d)
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), part.column(0).take(pa.array(list(new.values()), pa.int32()))], names=["digest", "text"])
 
     every = df.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "digest binary, text string")
     return stored(every.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]))
@@ -344,7 +389,7 @@ def texts_by_digest(df: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, class_id, class_size, is_first): class_id is the least doc_id of the class."""
     found = stored(classes(table(spark, sf_dir, "documents")))
-    sizes = found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    sizes = stored(found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return found.join(sizes, "label").select("doc_id", "class_id", "class_size", F.equal_null("doc_id", "class_id").alias("is_first"))
 
 
