@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 pytest.importorskip("tidemark.llm")
@@ -46,14 +47,29 @@ def test_scan_is_that_of_single_steps():
     assert table[bpe.scanned(of_class[kinds]), bpe.FRESH].tolist() == want
 
 
-def test_alike_falls_back_when_keys_collide(monkeypatch):
-    data = b"abcabdabcxyz" + b"q" * 80 + b"q" * 40
-    begin = np.array([0, 3, 6, 9, 12, 52, 92, 12])
-    end = np.array([3, 6, 9, 12, 52, 92, 132, 12])
-    first, kind = bpe.alike(data, begin, end)
+def test_table_of_pieces_keeps_slices_apart_when_places_collide(monkeypatch):
+    monkeypatch.setattr(bpe.Table, "places", lambda self, words: np.zeros(len(words), np.int64))
+    data = b"abcabdabcxyz" + b"q" * 32 + b"q" * 31 + bytes(3)
+    begin = np.array([0, 3, 6, 9, 12, 44, 75, 75, 12])
+    end = np.array([3, 6, 9, 12, 44, 75, 77, 78, 12])
     slices = [data[a:b] for a, b in zip(begin, end)]
-    assert [slices[first[k]] for k in kind] == slices
-    assert len(first) == len(set(slices))
+    table = bpe.Table()
+    words = table.rows(data, begin, end - begin)
+    first, kind = bpe.unlike(words)
+    assert len(first) == len(set(slices)) and [slices[first[k]] for k in kind] == slices
+    assert (table.find(words) == -1).all()
+    slots = table.add(words[first], first.astype(np.int32), np.ones(len(first), np.int64))
+    assert table.find(words).tolist() == slots[kind].tolist()
+    assert [table.flat[table.begin[s]] for s in table.find(words)] == first[kind].tolist()
+
+
+def test_batched_merges_are_those_of_single_pieces():
+    own = bpe.codec(bpe.default_path())
+    rnd = random.Random(2)
+    pieces = [bytes(rnd.choices(b"abcdeinorst \xc3\xa9\xff01", k=rnd.randint(1, 32))) for _ in range(3000)] + [b"a" * n for n in range(1, 33)]
+    ids, count = own.encode_pieces(pieces)
+    cuts = np.concatenate([[0], np.cumsum(count)]).tolist()
+    assert [tuple(ids[a:b].tolist()) for a, b in itertools.pairwise(cuts)] == [own.merged(p) for p in pieces]
 
 
 def test_bpe_frames(spark):
@@ -129,23 +145,33 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).collect() == []
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vectors = rng.integers(-6, 7, (700, 5))
     vectors[100:160] = vectors[99]
     rows = [Row(vec_id=i, embedding=[float(x) / 64 for x in v], label=1, rank=9, score=9) for i, v in enumerate(vectors)]
-    rows += [Row(vec_id=1000, embedding=None, label=1, rank=9, score=9), Row(vec_id=1020, embedding=[1.0, None, 0.0, 0.0, 0.0], label=1, rank=9, score=9), Row(vec_id=1040, embedding=[float("nan")] * 5, label=1, rank=9, score=9), Row(vec_id=None, embedding=[1.0] * 5, label=1, rank=9, score=9), rows[7]]
+    rows += [Row(vec_id=1000, embedding=None, label=1, rank=9, score=9), Row(vec_id=1020, embedding=[1.0, None, 0.0, 0.0, 0.0], label=1, rank=9, score=9), Row(vec_id=1040, embedding=[float("nan")] * 5, label=1, rank=9, score=9), Row(vec_id=1060, embedding=[float("inf")] * 5, label=1, rank=9, score=9)]
+    # rows without an id, and rows that stand there twice, queries among them
+    rows += [Row(vec_id=None, embedding=[1.0] * 5, label=1, rank=9, score=9), rows[7], rows[40], rows[40]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rank int, score int")
     own = top_k.scaled(df)
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k.search(own, own.where("vec_id % 20 = 0")).collect()}
-    want = {}
-    for q in range(0, 700, 20):
-        score = vectors @ vectors[q]
-        order = sorted((i for i in range(700) if i != q), key=lambda i: (-score[i], i))[:20]
-        want |= {(q, k + 1): (i, int(score[i])) for k, i in enumerate(order)}
-    assert got == want
+    kept = [(r.vec_id, np.floor(np.array(r.embedding) * 64)) for r in rows if r.embedding and None not in r.embedding and np.isfinite(r.embedding).all()]
+    want = []
+    for q, (name, x) in enumerate(kept):
+        if name is not None and name % 20 == 0:
+            order = sorted((i for i in range(len(kept)) if i != q), key=lambda i: (-(kept[i][1] @ x), kept[i][0] is None, kept[i][0] or 0))[:20]
+            want += [(name, k + 1, kept[i][0], int(kept[i][1] @ x)) for k, i in enumerate(order)]
+    key = lambda r: (r[0], r[1], -1 if r[2] is None else r[2], r[3])
+    asks = F.col("vec_id") % 20 == 0
+    for sizes in ((top_k.CANDIDATES, top_k.QUERIES, top_k.LEAST_QUERIES), (90, 11, 1)):
+        for name, n in zip(("CANDIDATES", "QUERIES", "LEAST_QUERIES"), sizes):
+            monkeypatch.setattr(top_k, name, n)
+        got = [(r.query_id, r.rank, r.vec_id, r.score) for r in top_k.search(own, asks).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+    assert sum(r[0] == 40 for r in got) == 60 and any(r[2] is None for r in got)
     empty = own.limit(0)
-    assert top_k.search(empty, empty).collect() == []
+    assert top_k.search(empty, asks).collect() == []
+    assert top_k.search(own, F.lit(False)).collect() == []
 
 
 def test_lists_stop_early_and_agree(monkeypatch):

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import chunks, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pieces that each of the two generations of a worker's cache holds.
-CACHE = 250_000
+#: Pieces beyond which a worker's cache starts anew with the next chunk.
+CACHE = 500_000
 NEVER = 1 << 30
 #: Code points with the White_Space property.
 WHITE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
@@ -125,16 +125,22 @@ def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarra
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(x) + 1 for x in texts]) - 1
     kind = kinds()[points]
-    follow = np.append(points[1:], 0)
-    kind[np.isin(points, [ord(c) for c in "stmd"])] = ONE
-    kind[((points == ord("r")) | (points == ord("v"))) & (follow == ord("e")) | (points == ord("l")) & (follow == ord("l"))] = PAIR
+    # letters are told apart only behind a quote
+    behind = np.flatnonzero(kind[:-1] == QUOTE) + 1
+    letter, follow = points[behind], points[np.minimum(behind + 1, len(points) - 1)]
+    kind[behind[np.isin(letter, [ord(c) for c in "stmd"])]] = ONE
+    kind[behind[((letter == ord("r")) | (letter == ord("v"))) & (follow == ord("e")) | (letter == ord("l")) & (follow == ord("l"))]] = PAIR
     kind[ends] = END
     white = (kind == SPACE) | (kind == BLANK)
-    last = white & ~np.append(white[1:], True) & np.append(kind[1:] != END, False)
-    kind[last] += 1
+    last = white.copy()
+    last[:-1] &= ~white[1:] & (kind[1:] != END)
+    last[-1:] = False
+    kind += last  # SPACE_LAST follows SPACE, BLANK_LAST follows BLANK
     of_class, _, applied, starts = monoid()
-    state = applied[scanned(of_class[kind]), FRESH]
-    begins = starts[np.append(FRESH, state[:-1]), kind]
+    state = applied[:, FRESH][scanned(of_class[kind])]
+    begins = np.empty(len(kind), bool)
+    begins[:1] = starts[FRESH, kind[:1]]
+    begins[1:] = starts.ravel()[state[:-1] * np.uint8(starts.shape[1]) + kind[1:]]
     begins[ends] = True
     bounds = np.flatnonzero(begins)
     return joined, points, bounds, kind[bounds] == END
@@ -142,57 +148,129 @@ def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarra
 
 #: Of 8 bytes the first 0 to 8.
 FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Bytes of a piece that the table holds; longer ones are looked up as they are.
+WIDE = 32
 
 
-def alike(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each kind of slice, and of each slice its kind. Slices of up to 32 bytes are compared as words of 8 bytes; longer ones as they are."""
-    view = np.ndarray((len(data) + 1,), "<u8", buffer=data + bytes(40), strides=(1,))
-    size = end - begin
-    words = [size.astype(np.uint64)]
-    for skip in range(0, 32, 8):
-        words.append(view[np.minimum(begin + skip, len(data))] & FIRST_BYTES[np.clip(size - skip, 0, 8)])
-    if len(long := np.flatnonzero(size > 32)):
-        seen: dict[bytes, int] = {}
-        words.append(np.zeros(len(size), np.uint64))
-        words[-1][long] = [seen.setdefault(data[a:b], len(seen)) for a, b in zip(begin[long].tolist(), end[long].tolist())]
-    key = words[0]
-    for w in words[1:]:
-        key = (key ^ w) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(order)]
-    unlike = np.zeros(len(order), bool)
-    for w in words:
-        own = w[order]
-        unlike[1:] |= own[1:] != own[:-1]
-    if (unlike & ~new).any():  # different slices of the same key: sort by the words themselves
-        order = np.lexsort(words[::-1])
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for w in words:
-            own = w[order]
-            new[1:] |= own[1:] != own[:-1]
+class Table:
+    """Pieces of up to WIDE bytes, as rows of words of 8 bytes and the size, and their ids: open addressing, looked up and filled by whole arrays."""
+
+    def __init__(self) -> None:
+        self.size = 0
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.words = np.zeros((1024, 5), np.uint64)
+        self.begin, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.used = np.zeros(4096, np.int32), 0
+
+    @staticmethod
+    def rows(data: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        view = np.ndarray((len(data) + 1,), "<u8", buffer=data + bytes(WIDE + 8), strides=(1,))
+        out = np.zeros((len(begin), 5), np.uint64)
+        out[:, 4] = size
+        for i in range(4):
+            some = slice(None) if i == 0 else np.flatnonzero(size > 8 * i)
+            out[some, i] = view[begin[some] + 8 * i] & FIRST_BYTES[np.minimum(size[some] - 8 * i, 8)]
+        return out
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        key = words[:, 4].copy()
+        for i in range(4):
+            key = (key ^ words[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        return (key & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The slot of each row, -1 for new ones."""
+        out = np.full(len(words), -1, np.int64)
+        todo, at = np.arange(len(words)), self.places(words)
+        while len(todo):
+            slot = self.slots[at]
+            full = slot >= 0
+            todo, at, slot = todo[full], at[full], slot[full]
+            same = (self.words[slot] == words[todo]).all(axis=1)
+            out[todo[same]] = slot[same]
+            todo, at = todo[~same], (at[~same] + 1) & (len(self.slots) - 1)
+        return out
+
+    def add(self, words: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Slots for new, different rows with their ids."""
+        n = len(words)
+        for name, used, more in (("words", self.size, words), ("begin", self.size, self.used + np.cumsum(count) - count), ("count", self.size, count), ("flat", self.used, ids)):
+            own = getattr(self, name)
+            if used + len(more) > len(own):
+                grown = np.zeros((2 * (used + len(more)), *own.shape[1:]), own.dtype)
+                grown[:used] = own[:used]
+                setattr(self, name, own := grown)
+            own[used : used + len(more)] = more
+        slot = np.arange(self.size, self.size + n)
+        self.size, self.used = self.size + n, self.used + len(ids)
+        if 2 * self.size > len(self.slots):
+            self.slots = np.full(1 << (4 * self.size - 1).bit_length(), -1, np.int32)
+            self.place(np.arange(self.size))
+        else:
+            self.place(slot)
+        return slot
+
+    def place(self, todo: np.ndarray) -> None:
+        at = self.places(self.words[todo])
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            lost = self.slots[at] != todo  # the place was full, or another row took it
+            todo, at = todo[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+
+def unlike(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of row, and of each row its kind."""
+    order = np.lexsort(words.T)
+    own = words[order]
+    new = np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])[: len(order)]
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
     return order[new], kind
 
 
 class Pieces:
-    """Texts to ids by way of a cache of pieces; what the cache lacks goes to encode_pieces()."""
+    """Texts to ids by way of a table of pieces; what the table lacks goes to encode_pieces()."""
 
     most = CACHE
 
     def __init__(self) -> None:
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.forget()
 
-    def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has."""
         raise NotImplementedError
 
     def forget(self) -> None:
         """Frees the cache: a worker process outlives its task, and later stages need the memory."""
-        self.cache, self.older = {}, {}
+        self.table: Table | None = None
+        self.long: dict[bytes, int] = {}
+
+    def slots_of(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The slot of each slice of data."""
+        if self.table is None or self.table.size > self.most:
+            self.forget()
+            self.table = Table()
+        table, size = self.table, end - begin
+        out = np.empty(len(size), np.int64)
+        short = np.flatnonzero(size <= WIDE)
+        words = table.rows(data, begin[short], size[short])
+        slots = table.find(words)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            first, kind = unlike(words[new])
+            some = short[new[first]]
+            slots[new] = table.add(words[new[first]], *self.encode_pieces([data[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist())]))[kind]
+        out[short] = slots
+        for i in np.flatnonzero(size > WIDE).tolist():
+            piece = data[begin[i] : end[i]]
+            if (slot := self.long.get(piece)) is None:
+                ids, count = self.encode_pieces([piece])
+                # a row that no short piece has
+                slot = self.long[piece] = int(table.add(np.array([[len(self.long), 0, 0, 0, WIDE + 1]], np.uint64), ids, count)[0])
+            out[i] = slot
+        return out
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where those of each text begin, and the end."""
@@ -203,23 +281,10 @@ class Pieces:
         at = np.append(bounds, len(joined))
         place = at if len(data) == len(joined) else np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])[at]
         piece = np.flatnonzero(~is_end)
-        first, kind = alike(data, place[piece], place[piece + 1])
-        names = [joined[a:b] for a, b in zip(at[piece[first]].tolist(), at[piece[first] + 1].tolist())]
-        if len(self.cache) > self.most:
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        found = list(map(cache.get, names))
-        if missing := [p for p, x in zip(names, found) if x is None]:
-            known = list(map(older.get, missing))
-            new = [p for p, x in zip(missing, known) if x is None]
-            cache.update((p, x) for p, x in zip(missing, known) if x is not None)
-            cache.update(zip(new, self.encode_pieces(new)))
-            found = [cache[p] if x is None else x for p, x in zip(names, found)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum()))
-        count = size[kind]
+        slot = self.slots_of(data, place[piece], place[piece + 1])
+        count = self.table.count[slot]
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = flat[np.arange(int(total[-1])) + np.repeat((np.cumsum(size) - size)[kind] - total[:-1], count)]
+        ids = self.table.flat[np.arange(int(total[-1])) + np.repeat(self.table.begin[slot] - total[:-1], count)]
         # pieces up to the end of each text
         return ids, np.concatenate([[0], total[np.cumsum(~is_end)[is_end]]])
 
@@ -228,6 +293,38 @@ class Pieces:
         return [ids[a:b].tolist() for a, b in itertools.pairwise(cuts.tolist())]
 
 
+class Joins:
+    """Ranks by pairs of ids."""
+
+    def __init__(self, pairs: np.ndarray, ranks: np.ndarray):
+        self.mask = (1 << (4 * len(pairs) - 1).bit_length()) - 1
+        self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NEVER, np.int64)
+        at = self.places(pairs)
+        while len(pairs):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = pairs[free]
+            won = self.keys[at] == pairs
+            self.ranks[at[won]] = ranks[won]
+            pairs, ranks, at = pairs[~won], ranks[~won], (at[~won] + 1) & self.mask
+
+    def places(self, pairs: np.ndarray) -> np.ndarray:
+        key = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((key ^ key >> np.uint64(29)) & np.uint64(self.mask)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left.astype(np.int64) << 32 | right
+        at = self.places(pairs)
+        out = np.where((found := self.keys[at]) == pairs, self.ranks[at], NEVER)
+        todo = np.flatnonzero((found != pairs) & (found >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            found = self.keys[at[todo]]
+            hit = found == pairs[todo]
+            out[todo[hit]] = self.ranks[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        return out
+
+
 class Codec(Pieces):
     """Encodes and decodes by a file of ranks."""
 
@@ -241,29 +338,55 @@ class Codec(Pieces):
             self.bytes[rank] = token
         self.text = [str(i) for i in range(most)]
         self.sizes = np.array([len(x) for x in self.bytes])
-
-    def short(self, piece: bytes) -> tuple[int, ...]:
-        """As merged(), by looking through all pairs at each merge."""
-        get = self.ranks.get
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [get(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
-        while pairs and (least := min(pairs)) < NEVER:
-            i = pairs.index(least)
-            parts[i : i + 2] = [new := parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + new, NEVER)
-            if i < len(pairs):
-                pairs[i] = get(new + parts[i + 1], NEVER)
-        return tuple([self.ranks[x] for x in parts])
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        # every way to join two tokens to a third, by the pair; the third's id is its rank
+        pairs = [(self.ranks[token[:i]] << 32 | self.ranks[token[i:]], rank) for token, rank in self.ranks.items() for i in range(1, len(token)) if token[:i] in self.ranks and token[i:] in self.ranks]
+        self.pairs = Joins(*(np.array(x, np.int64) for x in zip(*pairs)))
+
+    def short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As merged(), for many pieces at once: in each round every piece that has a pair left joins its least one, the leftmost among equals."""
+        part = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(len(part), NEVER, np.int64)
+        near = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[near] = self.pairs.find(part[near], part[near + 1])
+        while len(part):
+            start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            size = np.diff(np.append(start, len(part)))
+            least = np.minimum.reduceat(rank, start)
+            live = least < NEVER
+            if not live.all():
+                rest = np.repeat(live, size)
+                done.append((owner[~rest], part[~rest]))
+                part, owner, rank = part[rest], owner[rest], rank[rest]
+                start, size, least = np.cumsum(size[live]) - size[live], size[live], least[live]
+                if not len(part):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(least, size))
+            at = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])]  # the first of each piece
+            part[at] = least
+            keep = np.ones(len(part), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # places after those before have lost a part each
+            part, owner, rank = part[keep], owner[keep], rank[keep]
+            # the pairs of the new part, with the ones before and behind it
+            for left in (at - 1, at):
+                inside = (left >= 0) & (left + 1 < len(part))
+                some = left[inside]
+                same = owner[some] == owner[some + 1]
+                rank[some[same]] = self.pairs.find(part[some[same]], part[some[same] + 1])
+            last = np.append(owner[1:] != owner[:-1], True)
+            rank[last] = NEVER
+        owner, part = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        order = np.argsort(owner, kind="stable")
+        return part[order].astype(np.int32), np.bincount(owner, minlength=len(pieces))
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Pairs merged in order of rank, the leftmost first among equals; a heap keeps long pieces from taking quadratic time."""
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return (whole,)
-        if len(piece) <= 32:
-            return self.short(piece)
         n = len(piece)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -286,8 +409,19 @@ class Codec(Pieces):
             i = end[i]
         return tuple(out)
 
-    def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        return [self.merged(p.encode("utf-8", "surrogatepass")) for p in pieces]
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(pieces) == 1:
+            ids = self.merged(pieces[0])
+            return np.array(ids, np.int32), np.array([len(ids)])
+        # a piece that is a token is that one, even if no pairs lead to it
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int32, len(pieces))
+        rest = np.flatnonzero(whole < 0)
+        count = np.ones(len(pieces), np.int64)
+        flat, count[rest] = self.short([pieces[i] for i in rest.tolist()])
+        out = np.empty(int(count.sum()), np.int32)
+        place = np.repeat(whole >= 0, count)
+        out[place], out[~place] = whole[whole >= 0], flat
+        return out, count
 
     def offsets(self, ids: list[int] | np.ndarray) -> np.ndarray:
         """Where each token starts in the encoded text, in bytes, and its end."""

@@ -6,8 +6,8 @@ in stripes, with row indexes and Bloom filters on the document id: a reader take
 skips those whose statistics or filters rule an id out.
 
 A row of a file: the document id, the number of its range (`shard`), the number of ids before it in that
-range (`before`), and its ids, which end with END. Only one number a file goes to the driver: the ids it
-holds.
+range (`before`), how many it has (`n_ids`), and its ids, which end with END. Only one number a file goes
+to the driver: the ids it holds.
 
 Edge cases: a null or empty text holds END alone; null document ids come first; rows of the same id stand
 in order of a hash of their texts, repeated rows side by side; an empty table gives an empty result;
@@ -47,8 +47,9 @@ def alphabet() -> dict[int, str]:
 class Library(Pieces):
     """The tokenizers library's model over the pieces that the cache lacks."""
 
-    ALPHABET = str.maketrans(alphabet())
-    most = 400_000
+    #: A byte that UTF-8 never holds parts the pieces, and becomes a space, which no byte is named by.
+    PART = 255
+    ALPHABET = str.maketrans(alphabet() | {PART: " "})
 
     def __init__(self, path: str):
         super().__init__()
@@ -58,9 +59,10 @@ class Library(Pieces):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        model, names = self.tokenizer.model, self.ALPHABET
-        return [tuple([t.id for t in model.tokenize(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(names))]) for p in pieces]
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        split = self.tokenizer.model.tokenize
+        found = [[t.id for t in split(p)] for p in bytes([self.PART]).join(pieces).decode("latin-1").translate(self.ALPHABET).split(" ")]
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As encode_flat(), with END behind the ids of each text."""
@@ -100,17 +102,17 @@ def write(df: DataFrame, to: str, path: str | None = None, key: str = "doc_id",
         own, shard, before = library(path), TaskContext.get().partitionId(), 0
         for part, texts in chunks(batches):
             flat, starts = own.encode_texts(texts)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(texts), shard, np.int32)), pa.array(starts[:-1] + before), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))], names=[key, "shard", "before", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(texts), shard, np.int32)), pa.array(starts[:-1] + before), pa.array(np.diff(starts).astype(np.int32)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))], names=[key, "shard", "before", "n_ids", "ids"])
             before += int(starts[-1])
 
-    encoded = dealt.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, shard int, before bigint, ids array<int>")
+    encoded = dealt.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, shard int, before bigint, n_ids int, ids array<int>")
     encoded.write.option("orc.bloom.filter.columns", key).option("orc.row.index.stride", STRIDE).option("orc.stripe.size", STRIPE_BYTES).option("orc.compress", "ZSTD").orc(to)
 
 
 def read(spark: SparkSession, where: str) -> DataFrame:
     """The rows of the files, with `start`: ids of all documents before."""
     rows = spark.read.orc(where)
-    sizes = sorted((r[0], r[1]) for r in rows.groupBy("shard").agg(F.sum(F.size("ids")).alias("n")).collect())
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     starts = spark.createDataFrame([(s, b) for (s, _), b in zip(sizes, itertools.accumulate((n for _, n in sizes), initial=0))], "shard int, _base long")
     return rows.join(F.broadcast(starts), "shard").withColumn("start", F.col("_base") + F.col("before")).drop("_base")
 
