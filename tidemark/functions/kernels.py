@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Callable
 
@@ -36,16 +35,25 @@ def loess(x: np.ndarray, y: np.ndarray, f: float = 0.5, niter: int = 2, d: int =
         reach = np.array([np.partition(np.abs(x - c), r)[r] for c in x])
     low, high = np.searchsorted(x, x - reach, "left"), np.searchsorted(x, x + reach, "right")
     trust, fit = np.ones(n), np.empty(n)
+    widest = int((high - low).max())
+    step = max(1, (1 << 20) // widest)
     for round_ in range(niter):
-        for i in range(n):
-            s = slice(low[i], high[i])
-            w = trust[s] * kernel(np.abs(x[s] - x[i]) / reach[i])
-            mean = (w @ y[s]) / w.sum()
+        # rows of windows side by side, filled up with points of no weight
+        for begin in range(0, n, step):
+            rows = slice(begin, begin + step)
+            at = low[rows, None] + np.arange(widest)
+            inside = at < high[rows, None]
+            at = np.minimum(at, n - 1)
+            xs, ys = x[at], y[at]
+            w = np.where(inside, trust[at] * kernel(np.abs(xs - x[rows, None]) / reach[rows, None]), 0.0)
+            total = w.sum(axis=1)
+            mean = (w * ys).sum(axis=1) / total
             if d == 1:
-                centre = (w @ x[s]) / w.sum()
-                spread = w @ (x[s] - centre) ** 2
-                mean += (w @ ((x[s] - centre) * y[s])) / spread * (x[i] - centre) if spread > 0 else 0
-            fit[i] = mean
+                off = xs - ((w * xs).sum(axis=1) / total)[:, None]
+                spread = (w * off**2).sum(axis=1)
+                slope = np.divide((w * off * ys).sum(axis=1), spread, out=np.zeros(len(total)), where=spread > 0)
+                mean += slope * (x[rows] - (w * xs).sum(axis=1) / total)
+            fit[rows] = mean
         if round_ < niter - 1:
             rest = y - fit
             scale = np.median(np.abs(rest))
@@ -166,6 +174,153 @@ def gev_ppf(p: float, c: float, loc: float, scale: float) -> float:
     return loc - scale * math.log(y) if abs(c) < 1e-12 else loc + scale * (1 - y**c) / c
 
 
+def _low_end(x: np.ndarray) -> float:
+    """A location below the least value, from the two least and the greatest."""
+    x = np.sort(x)
+    first, second, last = x[0], x[1], x[-1]
+    bend = first + last - 2 * second
+    loc = (first * last - second**2) / bend if bend else first
+    return loc if loc < first else first * (0.9999 if first > 0 else 1.0001)
+
+
+def first_guess(x: np.ndarray, dist: str, loc: float | None = None) -> tuple[float, float, float]:
+    """Shape, location and scale to start a fit from. The formulas are fixed: they are also the approximate fit."""
+    mean, var = x.mean(), x.var()
+    if dist == "genextreme":
+        scale = math.sqrt(6 * var) / math.pi
+        return 0.1, mean - 0.57722 * scale, scale
+    if dist == "genpareto":
+        at = 0.0 if loc is None else loc
+        mean, var = (x - at).mean(), (x - at).var()
+        c = 0.5 * (1 - mean**2 / var)
+        return c, at, (1 - c) * mean
+    if dist == "weibull_min":
+        at = x.min() - 0.01 * x.std() if loc is None else loc
+        c = math.pi / math.sqrt(6) / np.log(x - at).std()
+        return c, at, ((x - at) ** c).mean() ** (1 / c)
+    if dist not in ("gamma", "fisk"):
+        raise ValueError(f"dist is one of {sorted(DENSITIES)}")
+    at = _low_end(x) if loc is None else loc
+    above = (x - at)[x > at]
+    mean = above.mean()
+    if dist == "gamma":
+        gap = math.log(mean) - np.log(above).mean()
+        c = (1 + math.sqrt(1 + 4 * gap / 3)) / (4 * gap)
+        return c, at, mean / c
+    square = (above**2).mean()
+    return math.pi * mean / math.sqrt(3) / math.sqrt(square - mean**2), at, 2 * mean**3 / (square + mean**2)
+
+
+def _log_genextreme(z: np.ndarray, c: float) -> np.ndarray:
+    if abs(c) < 1e-9:
+        return -z - np.exp(-z)
+    t = 1 - c * z
+    if t.min() <= 0:
+        return np.full(len(z), -np.inf)
+    return -(1 - 1 / c) * np.log(t) - np.exp(np.log(t) / c)
+
+
+def _log_genpareto(z: np.ndarray, c: float) -> np.ndarray:
+    if z.min() < 0 or (1 + c * z).min() <= 0:
+        return np.full(len(z), -np.inf)
+    return -z if abs(c) < 1e-9 else -(1 + 1 / c) * np.log1p(c * z)
+
+
+def _positive(log: Callable[[np.ndarray, float], np.ndarray]) -> Callable[[np.ndarray, float], np.ndarray]:
+    return lambda z, c: log(z, c) if z.min() > 0 and c > 0 else np.full(len(z), -np.inf)
+
+
+#: Logarithms of the densities of (x - location) / scale.
+DENSITIES: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {
+    "genextreme": _log_genextreme,
+    "genpareto": _log_genpareto,
+    "gamma": _positive(lambda z, c: (c - 1) * np.log(z) - z - math.lgamma(c)),
+    "weibull_min": _positive(lambda z, c: math.log(c) + (c - 1) * np.log(z) - z**c),
+    "fisk": _positive(lambda z, c: math.log(c) + (c - 1) * np.log(z) - 2 * np.log1p(z**c)),
+}
+
+
+def standard_moments(dist: str, c: float) -> tuple[float, float, float]:
+    """Mean, variance and skewness at location 0 and scale 1."""
+    if dist == "gamma":
+        return c, c, 2 / math.sqrt(c)
+    if dist == "genpareto":
+        return 1 / (1 - c), 1 / ((1 - c) ** 2 * (1 - 2 * c)), 2 * (1 + c) * math.sqrt(1 - 2 * c) / (1 - 3 * c)
+    if dist == "genextreme" and abs(c) < 1e-6:
+        return 0.5772156649015329, math.pi**2 / 6, 1.1395470994046486
+    if dist == "weibull_min":
+        a, b, d = (math.gamma(1 + k / c) for k in (1, 2, 3))
+    elif dist == "fisk":
+        a, b, d = (k * math.pi / c / math.sin(k * math.pi / c) for k in (1, 2, 3))
+    else:
+        g1, g2, g3 = (math.gamma(1 + k * c) for k in (1, 2, 3))
+        a, b, d = (1 - g1) / c, (1 - 2 * g1 + g2) / c**2, (1 - 3 * g1 + 3 * g2 - g3) / c**3
+    var = b - a * a
+    return a, var, (d - 3 * a * b + 2 * a**3) / var**1.5
+
+
+#: Shapes between which the first three moments are there.
+SHAPES = {"gamma": (1e-4, 1e6), "genpareto": (-20.0, 0.33), "genextreme": (-0.33, 20.0), "weibull_min": (0.1, 200.0), "fisk": (3.001, 1e4)}
+
+
+def by_moments(x: np.ndarray, dist: str) -> tuple[float, float, float]:
+    """The shape of the sample's skewness by bisection, then location and scale; the nearest shape if none has it."""
+    mean, std = x.mean(), x.std()
+    skew = ((x - mean) ** 3).mean() / std**3
+    low, high = SHAPES[dist]
+    rising = standard_moments(dist, high)[2] > standard_moments(dist, low)[2]
+    for _ in range(200):
+        middle = math.sqrt(low * high) if low > 0 and high / low > 4 else (low + high) / 2
+        if (standard_moments(dist, middle)[2] < skew) == rising:
+            low = middle
+        else:
+            high = middle
+    c = (low + high) / 2
+    m, v, _ = standard_moments(dist, c)
+    scale = std / math.sqrt(v)
+    return c, mean - scale * m, scale
+
+
+def fit(x: np.ndarray, dist: str, method: str = "ML", loc: float | None = None) -> tuple[float, float, float]:
+    """Shape, location and scale by maximum likelihood (ML), moments (MM), L-moments (PWM) or the first guess (APP); NaN where there is no fit.
+
+    loc fixes the location for ML and APP.
+    """
+    if dist not in DENSITIES:
+        raise ValueError(f"dist is one of {sorted(DENSITIES)}")
+    x = np.asarray(x, float)
+    x = x[~np.isnan(x)]
+    if len(x) < 3 or x.max() == x.min():
+        return math.nan, math.nan, math.nan
+    if method == "MM":
+        return by_moments(x, dist)
+    if method == "PWM":
+        if dist == "genextreme":
+            return fit_gev(x, "PWM")
+        if dist != "genpareto":
+            raise NotImplementedError("L-moments serve genextreme and genpareto")
+        l1, l2, t3 = l_moments(x)
+        k = (1 - 3 * t3) / (1 + t3)
+        return -k, l1 - (2 + k) * l2, (1 + k) * (2 + k) * l2
+    c, at, scale = first_guess(x, dist, loc)
+    if method == "APP":
+        return c, at, scale
+    if method not in ("ML", "MLE"):
+        raise NotImplementedError(f"unknown method {method!r}")
+    if dist == "genpareto" and loc is None:
+        loc = at
+
+    def loss(q: np.ndarray) -> float:
+        log = DENSITIES[dist]((x - (q[2] if loc is None else loc)) / math.exp(q[1]), q[0])
+        return len(x) * q[1] - float(log.sum()) if np.isfinite(log).all() else math.inf
+
+    start = np.array([c, math.log(scale)] + ([at] if loc is None else []))
+    if not math.isfinite(loss(start)):
+        start[0] = 0.1 if dist != "genextreme" else -0.1
+    found = nelder_mead(loss, start)
+    return float(found[0]), float(found[2]) if loc is None else loc, math.exp(found[1])
+
+
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised, by its continued fraction."""
     if x <= 0 or x >= 1:
@@ -242,15 +397,23 @@ def best_orientation_full(r: np.ndarray, h_inverse: np.ndarray, r_mean: np.ndarr
     return signs[np.argmax([score(s) for s in signs])]
 
 
-def energy_score(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two clouds, variables by points; pairs in blocks of rows."""
-    x, y = x[:, ~np.isnan(x).any(axis=0)], y[:, ~np.isnan(y).any(axis=0)]
+def total_distance(x: np.ndarray, y: np.ndarray) -> float:
+    """The sum of the distances of all points of one cloud to all of the other, in blocks of rows; variables by points."""
+    return float(sum(np.sqrt(((x[:, i : i + 256, None] - y[:, None, :]) ** 2).sum(axis=0)).sum() for i in range(0, x.shape[1], 256)))
 
-    def mean(a: np.ndarray, b: np.ndarray) -> float:
-        return sum(np.sqrt(((a[:, i : i + 256, None] - b[:, None, :]) ** 2).sum(axis=0)).sum() for i in range(0, a.shape[1], 256)) / (a.shape[1] * b.shape[1])
 
-    n, m = x.shape[1], y.shape[1]
-    return n * m / (n + m) * (2 * mean(x, y) - mean(x, x) - mean(y, y)) / 2
+def energy_score(x: np.ndarray, y: np.ndarray, n: int = 0, scale: bool = False) -> float:
+    """Of two clouds, variables by points; n > 0 takes about n points of each, evenly spaced, scale measures in spreads of x."""
+    x, y = x[:, ~np.isnan(x).any(axis=0)], y[:, ~np.isnan(y).any(axis=0)]
+    if scale:
+        x, mean, std = standardised(x)
+        y = (y - mean) / std
+    if n:
+        x, y = (z[:, :: max(1, math.ceil(z.shape[1] / n))] for z in (x, y))
+    a, b = x.shape[1], y.shape[1]
+    if not a or not b:
+        return math.nan
+    return a * b / (a + b) * (2 * total_distance(x, y) / (a * b) - total_distance(x, x) / a**2 - total_distance(y, y) / b**2) / 2
 
 
 def standardised(x: np.ndarray, mean: np.ndarray | None = None, std: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,6 +426,22 @@ def interp_nearest(x: np.ndarray, xq: np.ndarray, yq: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(x), np.nan, yq[np.searchsorted((xq[1:] + xq[:-1]) / 2, x, "left")])
 
 
+def lookup(interp: str, extrapolation: str = "constant") -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """(x, knots, values) -> values at x; beyond the knots the end values, or NaN."""
+    if interp not in ("nearest", "linear", "cubic") or extrapolation not in ("constant", "nan"):
+        raise ValueError("interp is nearest, linear or cubic, extrapolation constant or nan")
+
+    def at(x: np.ndarray, xq: np.ndarray, yq: np.ndarray) -> np.ndarray:
+        if interp == "cubic" and len(xq) > 1:
+            xq, first = np.unique(xq, return_index=True)
+            out = cubic_spline(xq, yq[first])(np.clip(x, xq[0], xq[-1]))
+        else:
+            out = interp_nearest(x, xq, yq) if interp == "nearest" else np.interp(x, xq, yq)
+        return np.where(np.isnan(x) | (extrapolation == "nan") & ((x < xq[0]) | (x > xq[-1])), np.nan, out)
+
+    return at
+
+
 def bends(xq: np.ndarray, yq: np.ndarray) -> np.ndarray:
     """Second derivatives at the knots of the not-a-knot cubic spline; with three knots of the parabola, with fewer none."""
     n = len(xq)
@@ -302,52 +481,63 @@ def lifted_cholesky(m: np.ndarray, rounds: int = 26) -> np.ndarray:
     raise np.linalg.LinAlgError("the matrix isn't positive definite, even when lifted")
 
 
-def transport(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The exact plan of least cost that moves masses a to masses b: shortest augmenting paths with potentials."""
+def transport(cost: np.ndarray, a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """The exact plan of least cost that moves masses a to masses b: shortest augmenting paths with potentials.
+
+    Rows first send what they can along columns of no reduced cost. Then each path is found by passing over
+    columns in order of their distance, all of a row's columns at once. rounds bounds the number of paths.
+    """
     n, m = cost.shape
-    plan, supply, demand = np.zeros((n, m)), a.astype(float).copy(), b * (a.sum() / b.sum())
-    u, v = np.zeros(n), cost.min(axis=0) if n else np.zeros(m)
+    supply, demand = a.astype(float).copy(), b * (a.sum() / b.sum())
+    plan = np.zeros((m, n))  # by column, as paths ask for the rows of a column
     small = 1e-12 * max(a.sum(), 1e-300)
-    for start in range(n):
-        while supply[start] > small:
-            far_row, far_col = np.full(n, np.inf), np.full(m, np.inf)
-            from_row, from_col = np.full(n, -1), np.full(m, -1)
-            far_row[start] = 0.0
-            done_row, done_col = np.zeros(n, bool), np.zeros(m, bool)
-            heap = [(0.0, start)]
-            goal, best = -1, np.inf
-            while heap:
-                distance, i = heapq.heappop(heap)
-                if done_row[i] or distance >= best:
-                    continue
-                done_row[i] = True
-                reach = distance + np.maximum(cost[i] - u[i] - v, 0)
-                better = reach < far_col - 1e-15
-                far_col[better], from_col[better] = reach[better], i
-                open_ = np.flatnonzero(better & (demand > small))
-                if len(open_) and reach[open_].min() < best:
-                    goal = int(open_[np.argmin(reach[open_])])
-                    best = float(reach[goal])
-                for j in np.flatnonzero(better & (demand <= small) & (far_col < best)):
-                    back = np.flatnonzero((plan[:, j] > small) & ~done_row & (far_col[j] < far_row))
-                    far_row[back], from_row[back] = far_col[j], j
-                    for k in back:
-                        heapq.heappush(heap, (float(far_col[j]), int(k)))
-            if goal < 0:
+    v = cost.min(axis=0) if n else np.zeros(m)
+    u = (cost - v).min(axis=1) if m else np.zeros(n)
+    for i in range(n):
+        for j in np.flatnonzero((cost[i] - u[i] - v <= 0) & (demand > small)):
+            amount = min(supply[i], demand[j])
+            plan[j, i] += amount
+            supply[i] -= amount
+            demand[j] -= amount
+            if supply[i] <= small:
                 break
-            u += np.where(far_row < best, best - far_row, 0)
-            v -= np.where(far_col < best, best - far_col, 0)
+    paths = 0
+    for start in range(n):
+        while supply[start] > small and (demand > small).any():
+            paths += 1
+            if rounds is not None and paths > rounds:
+                raise RuntimeError(f"no plan after {rounds} paths")
+            far, origin = np.maximum(cost[start] - u[start] - v, 0), np.full(m, start)
+            open_, row_far, row_from = np.ones(m, bool), np.full(n, np.inf), np.full(n, -1)
+            row_far[start] = 0.0
+            todo = far.copy()
+            while True:
+                goal = int(np.argmin(todo))
+                if demand[goal] > small:
+                    break
+                open_[goal] = False
+                todo[goal] = np.inf
+                for i in np.flatnonzero((plan[goal] > small) & (row_far == np.inf)):
+                    row_far[i], row_from[i] = far[goal], goal
+                    reach = far[goal] + np.maximum(cost[i] - u[i] - v, 0)
+                    better = open_ & (reach < far)
+                    far[better], origin[better] = reach[better], i
+                    todo[better] = reach[better]
+            best = far[goal]
+            seen = row_far < np.inf
+            u[seen] += best - row_far[seen]
+            v[~open_] -= best - far[~open_]
             path, j, amount = [], goal, min(supply[start], demand[goal])
             while True:
-                i = int(from_col[j])
+                i = int(origin[j])
                 path.append((i, j))
                 if i == start:
                     break
-                j = int(from_row[i])
-                amount = min(amount, plan[i, j])
+                j = int(row_from[i])
+                amount = min(amount, plan[j, i])
                 path.append((i, j))
             for k, (i, j) in enumerate(path):
-                plan[i, j] += amount if k % 2 == 0 else -amount
+                plan[j, i] += amount if k % 2 == 0 else -amount
             supply[start] -= amount
             demand[goal] -= amount
-    return plan
+    return plan.T

@@ -39,32 +39,31 @@ def mean(df: DataFrame, group: str | Grouper = "time", by: Sequence[str] = (), v
 
 
 def polynomial(df: DataFrame, group: str | Grouper = "time", kind: str = "+", degree: int = 4, by: Sequence[str] = (), value: str = "value", preserve_mean: bool = False) -> DataFrame:
-    """Least squares over days, by group. Degree 1 is a window of regression sums, higher ones a kernel over each group."""
-    key = Grouper.of(group).key()
+    """Least squares over days, by group, for groups of more than `degree` different known times.
+
+    The trend is a sum of polynomials orthogonal over the known times of the group, each from the two before
+    it; their products are window sums over one partitioning, so that no row leaves the JVM.
+    """
+    w = Window.partitionBy(*by, "_g")
+    known = F.col(value).isNotNull()
     days = F.unix_timestamp(F.col("time").cast("timestamp")) / 86400.0
-    if degree > 1:
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            t = pd.to_datetime(pdf["time"]).to_numpy().astype("datetime64[s]").astype(np.int64) / 86400.0
-            y = pdf[value].to_numpy(float)
-            span = max(t.max() - t.min(), 1e-9)
-            x = 2 * (t - t.min()) / span - 1
-            known = ~np.isnan(y)
-            trend = np.full(len(y), np.nan)
-            if known.sum() > degree:
-                trend = np.polynomial.polynomial.polyval(x, np.polynomial.polynomial.polyfit(x[known], y[known], degree))
-            return pdf.assign(trend=trend)
-
-        own = df.withColumn("_g", key)
-        out = own.groupBy(*by, "_g").applyInPandas(fit, StructType([*own.schema.fields, StructField("trend", DoubleType())])).drop("_g")
-    else:
-        w = Window.partitionBy(*by, key)
-        own = df.withColumn("_t", F.when(F.col(value).isNotNull(), days)).withColumn("_mt", F.avg("_t").over(w)).withColumn("_my", F.avg(value).over(w))
-        slope = F.try_divide(F.sum((F.col("_t") - F.col("_mt")) * (F.col(value) - F.col("_my"))).over(w), F.sum(F.pow(F.col("_t") - F.col("_mt"), 2)).over(w))
-        out = own.withColumn("_slope", slope).withColumn("trend", F.col("_my") + F.col("_slope") * (days - F.col("_mt"))).drop("_t", "_mt", "_my", "_slope")
+    own = df.withColumn("_g", Grouper.of(group).key()).withColumn("_t", days)
+    first, last = F.min(F.when(known, F.col("_t"))).over(w), F.max(F.when(known, F.col("_t"))).over(w)
+    own = own.withColumn("_x", F.coalesce(F.try_divide(2 * (F.col("_t") - first), last - first), F.lit(0.0)) - 1)
+    at = F.when(known, F.col("_x"))
+    own = own.withColumn("_p", F.lit(1.0)).withColumn("_before", F.lit(0.0)).withColumn("_norm_before", F.lit(1.0)).withColumn("trend", F.avg(value).over(w))
+    for _ in range(degree):
+        own = own.withColumn("_norm", F.sum(F.when(known, F.col("_p") * F.col("_p"))).over(w))
+        own = own.withColumn("_a", F.try_divide(F.sum(at * F.col("_p") * F.col("_p")).over(w), F.col("_norm")))
+        own = own.withColumn("_next", (F.col("_x") - F.col("_a")) * F.col("_p") - F.col("_norm") / F.col("_norm_before") * F.col("_before"))
+        own = own.withColumn("_before", F.col("_p")).withColumn("_norm_before", F.col("_norm")).withColumn("_p", F.col("_next"))
+        share = F.try_divide(F.sum(F.col(value) * F.col("_p")).over(w), F.sum(F.when(known, F.col("_p") * F.col("_p"))).over(w))
+        own = own.withColumn("trend", F.col("trend") + share * F.col("_p"))
+    enough = F.count(value).over(w) > degree
+    out = own.withColumn("trend", F.when(enough, F.col("trend"))).drop("_t", "_x", "_p", "_before", "_norm_before", "_norm", "_a", "_next")
     if preserve_mean:
-        m = F.avg("trend").over(Window.partitionBy(*by, key))
-        out = out.withColumn("trend", C.corrected(F.col("trend"), C.inverse(m, kind), kind))
-    return out
+        out = out.withColumn("trend", C.corrected(F.col("trend"), C.inverse(F.avg("trend").over(w), kind), kind))
+    return out.drop("_g")
 
 
 def rolling_mean(df: DataFrame, win: int = 30, weights: Sequence[float] | None = None, min_periods: int | None = None, by: Sequence[str] = (), value: str = "value") -> DataFrame:
@@ -84,12 +83,19 @@ def rolling_mean(df: DataFrame, win: int = 30, weights: Sequence[float] | None =
     return df.withColumn("trend", out)
 
 
-def local_regression(df: DataFrame, by: Sequence[str] = (), value: str = "value", f: float = 0.2, niter: int = 1, d: int = 0, weights: str = "tricube", equal_spacing: bool | None = None) -> DataFrame:
-    """LOESS of each site's series; one series is one task's work."""
+def local_regression(df: DataFrame, by: Sequence[str] = (), value: str = "value", f: float = 0.2, niter: int = 1, d: int = 0, weights: str = "tricube", equal_spacing: bool | None = None, group: str | Grouper = "time", skipna: bool = True) -> DataFrame:
+    """LOESS of the series of each site and group; one series is one task's work.
+
+    skipna leaves missing values out; without it a series that misses any has no trend.
+    """
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("time")
         t = pd.to_datetime(pdf["time"]).to_numpy().astype("datetime64[s]").astype(float)
-        return pdf.assign(trend=loess(t, pdf[value].to_numpy(float), f=f, niter=niter, d=d, weights=weights, equal_spacing=equal_spacing))
-
-    schema = StructType([*df.schema.fields, StructField("trend", DoubleType())])
-    return df.groupBy(*(by or [F.lit("all")])).applyInPandas(fit, schema)
+        y = pdf[value].to_numpy(float)
+        if not skipna and np.isnan(y).any():
+            return pdf.assign(trend=np.nan)
+        return pdf.assign(trend=loess(t, y, f=f, niter=niter, d=d, weights=weights, equal_spacing=equal_spacing))
+
+    own = df.withColumn("_g", Grouper.of(group).key())
+    schema = StructType([*own.schema.fields, StructField("trend", DoubleType())])
+    return own.groupBy(*by, "_g").applyInPandas(fit, schema).withColumn("trend", F.nanvl("trend", F.lit(None).cast("double"))).drop("_g")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.functions.kernels import total_distance
 from tidemark.operators import stats
 from tidemark.operators.grouping import Grouper, grouped
 
@@ -48,7 +50,7 @@ def adapt_with(sim: DataFrame, shares: DataFrame, group: str, thresh: float, by:
     own = own.withColumn("_p0", F.avg(F.when(F.col(value).isNotNull(), (F.col(value) <= thresh).cast("double"))).over(part))
     own = stats.percent_rank(own, value, [*by, "grp"], "_place", tie_break=[*by, *keys], seed=seed)
     own = own.join(shares.select(*by, "grp", "P0_ref", "P0_hist", "dP0", "pth"), [*by, "grp"], "left")
-    drawn = (F.col("dP0") > 0) & (F.col("_place") >= F.col("P0_ref") / F.col("P0_hist") * F.col("_p0")) & (F.col("_place") <= F.col("_p0"))
+    drawn = (F.col("dP0") > 0) & (F.col("_place") >= F.try_divide(F.col("P0_ref"), F.col("P0_hist")) * F.col("_p0")) & (F.col("_place") <= F.col("_p0"))
     out = F.when(drawn, thresh + (F.col("pth") - thresh) * C.uniform(*by, *keys, seed=seed + 1)).otherwise(F.col(value))
     return own.withColumn(value, out).drop("_p0", "_place", "P0_ref", "P0_hist", "dP0", "pth")
 
@@ -67,10 +69,12 @@ def normalize(df: DataFrame, group: str | Grouper, kind: str = "+", by: Sequence
     return own.withColumn(value, C.corrected(F.col(value), C.inverse(F.col("norm"), kind), kind)), norm
 
 
-def standardize(df: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
-    """df with `mean`, `std` (of the population) and the standardised value."""
-    w = Window.partitionBy(*by)
-    own = df.withColumn("mean", F.avg(value).over(w)).withColumn("std", F.stddev_pop(value).over(w))
+def standardize(df: DataFrame, by: Sequence[str] = (), value: str = "value", moments: DataFrame | None = None) -> DataFrame:
+    """df with `mean`, `std` (of the population) and the standardised value; other moments (by, mean, std) may be given."""
+    if moments is None:
+        moments = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    # without sites the moments are one row, and no window sends all rows to one task
+    own = df.join(moments, list(by)) if by else df.crossJoin(F.broadcast(moments))
     return own.withColumn(value, F.try_divide(F.col(value) - F.col("mean"), F.col("std")))
 
 
@@ -100,43 +104,70 @@ def unstack_variables(df: DataFrame, variables: Sequence[str], keep: Sequence[st
     return df.groupBy(*keep).pivot(dim, sorted(variables)).agg(F.first(value))
 
 
+#: Points of a cloud that meet another block of points in one task.
+POINTS = 4096
+
+
 def escore(tgt: DataFrame, sim: DataFrame, variables: Sequence[str], by: Sequence[str] = (), n: int = 0, scale: bool = False) -> DataFrame:
-    """(by, escore): energy distance of two clouds of points; n > 0 takes about n points of each, evenly spaced in time.
+    """(by, escore): energy distance of two clouds of points; n > 0 takes about n points of each, evenly spaced in time, 0 all.
 
-    Every point of one cloud meets every point of the other, as the measure is defined; n bounds that.
+    Every point meets every other, as the measure is defined, in cells of two blocks of points: a task gives
+    one sum of distances, and no pair of points is ever a row. scale: in spreads of tgt; a variable that is
+    constant there has none, and leaves the score NULL.
     """
-    def points(df: DataFrame, own: DataFrame | None) -> DataFrame:
-        out = df.dropna(subset=list(variables))
+    variables = list(variables)
+
+    def points(df: DataFrame, name: str) -> DataFrame:
+        out = df.dropna(subset=variables)
         if scale:
-            moments = tgt.dropna(subset=list(variables)).groupBy(*by).agg(*(f(v).alias(f"_{name}_{v}") for v in variables for name, f in (("mean", F.avg), ("std", F.stddev_pop))))
-            out = (out.join(moments, list(by)) if by else out.crossJoin(F.broadcast(moments))).select(*by, "time", *(((F.col(v) - F.col(f"_mean_{v}")) / F.col(f"_std_{v}")).alias(v) for v in variables))
+            moments = tgt.dropna(subset=variables).groupBy(*by).agg(*(f(v).alias(f"_{k}_{v}") for v in variables for k, f in (("mean", F.avg), ("std", F.stddev_pop))))
+            out = out.join(moments, list(by)) if by else out.crossJoin(F.broadcast(moments))
+            out = out.select(*by, "time", *(F.try_divide(F.col(v) - F.col(f"_mean_{v}"), F.col(f"_std_{v}")).alias(v) for v in variables))
         if n:
             w = Window.partitionBy(*by)
             every = F.greatest(F.lit(1), F.ceil(F.count("*").over(w) / n))
             out = out.withColumn("_k", F.row_number().over(w.orderBy("time")) - 1).withColumn("_every", every).where(F.col("_k") % F.col("_every") == 0)
-        return out.select(*by, *variables)
-
-    def mean_distance(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        other = b.select(*by, *(F.col(v).alias(f"_{v}") for v in variables))
-        pairs = a.join(other, list(by)) if by else a.crossJoin(other)
-        d = F.sqrt(sum((F.pow(F.col(v) - F.col(f"_{v}"), 2) for v in variables), F.lit(0.0)))
-        return pairs.groupBy(*by).agg(F.avg(d).alias(name))
-
-    x, y = points(tgt, None), points(sim, None)
-    parts = [mean_distance(x, y, "_xy"), mean_distance(x, x, "_xx"), mean_distance(y, y, "_yy"), x.groupBy(*by).agg(F.count("*").alias("_n")), y.groupBy(*by).agg(F.count("*").alias("_m"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, list(by)) if by else out.crossJoin(F.broadcast(p))
-    return out.select(*by, (F.col("_n") * F.col("_m") / (F.col("_n") + F.col("_m")) * (2 * F.col("_xy") - F.col("_xx") - F.col("_yy")) / 2).alias("escore"))
-
-
-def spectral_filter(df: DataFrame, sizes: tuple[int, int], low: float, high: float, by: Sequence[str] = (), y: str = "y", x: str = "x", value: str = "value") -> DataFrame:
+        return out.select(*by, F.lit(name).alias("_which"), *(F.col(v).cast("double").alias(v) for v in variables))
+
+    both = points(tgt, "x").unionByName(points(sim, "y"))
+    sizes = both.groupBy(*by).agg(F.count_if(F.col("_which") == "x").alias("_n"), F.count_if(F.col("_which") == "y").alias("_m"))
+    own = both.join(sizes, list(by)) if by else both.crossJoin(F.broadcast(sizes))
+    blocks = F.ceil(F.greatest("_n", "_m") / POINTS).cast("int")
+    own = own.withColumn("_b", F.pmod(F.xxhash64(*variables), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = own.select(*by, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", "_which", *variables)
+    schema = ", ".join([*(f"`{c}` {tgt.schema[c].dataType.simpleString()}" for c in by), "_xy double, _xx double, _yy double"])
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
+        cloud = lambda which, b: pdf[(pdf["_which"] == which) & (pdf["_b"] == b)][variables].to_numpy(float).T
+        cross = [(i, j)] if i == j else [(i, j), (j, i)]
+        out = pdf[list(by)].head(1).copy()
+        for name, (a, b) in {"_xy": "xy", "_xx": "xx", "_yy": "yy"}.items():
+            out[name] = sum(total_distance(cloud(a, k), cloud(b, m)) for k, m in cross)
+        return out
+
+    cells = own.groupBy(*by, "_i", "_j").applyInPandas(sums, schema).groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("_xy", "_xx", "_yy")))
+    out = cells.join(sizes, list(by)) if by else cells.crossJoin(F.broadcast(sizes))
+    n_, m_ = F.col("_n"), F.col("_m")
+    mean = 2 * F.try_divide(F.col("_xy"), n_ * m_) - F.try_divide(F.col("_xx"), n_ * n_) - F.try_divide(F.col("_yy"), m_ * m_)
+    return out.select(*by, F.nanvl(n_ * m_ / (n_ + m_) * mean / 2, F.lit(None).cast("double")).alias("escore"))
+
+
+def spectral_filter(df: DataFrame, sizes: tuple[int, int], low: float | None = None, high: float | None = None, by: Sequence[str] = (), y: str = "y", x: str = "x", value: str = "value", lam_long: float | None = None, lam_short: float | None = None, delta: float | None = None, mask: Callable[[Column, float, float], Column] = C.cos2_mask) -> DataFrame:
     """Fields of a whole grid less their waves of normalised wavenumbers beyond a soft mask: cosine transform, mask, inverse.
 
+    low and high are wavenumbers, or come from the wavelengths lam_long and lam_short on a grid of spacing
+    delta (of the same unit). mask(wavenumber, low, high) gives the share of a wave that stays.
     Each transform is a join with a cosine table of one axis and a sum; y and x count from 0.
     """
+    if (low is None) == (lam_long is None) or (high is None) == (lam_short is None):
+        raise ValueError("each bound is a wavenumber or a wavelength")
+    if lam_long is not None or lam_short is not None:
+        if delta is None:
+            raise ValueError("wavelengths need the spacing of the grid")
+        low, high = (2 * delta / lam if lam is not None else k for lam, k in ((lam_long, low), (lam_short, high)))
     alpha = F.sqrt(F.pow(F.col("_i") / sizes[0], 2) + F.pow(F.col("_j") / sizes[1], 2))
-    waves = dct(df, sizes, by, y, x, value).withColumn("wave", F.col("wave") * C.cos2_mask(alpha, low, high))
+    waves = dct(df, sizes, by, y, x, value).withColumn("wave", F.col("wave") * mask(alpha, low, high))
     return inverse_dct(waves, sizes, by, y, x, value)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -218,40 +219,93 @@ def return_value(df: DataFrame, period: float = 20, op: str = "max", method: str
         out["return_value"] = gev_ppf(1 - 1 / period, *fit_gev(pdf["_v"].to_numpy(float), method))
         return out
 
-    return each.groupBy(*by, "grp").applyInPandas(fit, schema)
+    return each.groupBy(*by, "grp").applyInPandas(fit, schema).withColumn("return_value", F.nanvl("return_value", F.lit(None).cast("double")))
 
 
-def pairwise_spearman(df: DataFrame, site: str = "site", value: str = "value") -> DataFrame:
+#: Sites of a block; a cell of two blocks is one task's work.
+SITES = 64
+
+
+def pairwise_spearman(df: DataFrame, site: str = "site", value: str = "value", block: int = SITES) -> DataFrame:
     """(a, b, corr): rank correlation of each two sites, each series less the mean of all sites at each time.
 
-    Pairs of sites are what is asked for; times meet by an equal join.
+    Pairs of sites are what is asked for. Sites are dealt out in cells of two blocks; a cell ranks the
+    series that know all its times once and multiplies their ranks as matrices; where one misses times, the
+    pair is ranked over the times that both know.
     """
     own = df.withColumn("_d", F.col(value) - F.avg(value).over(Window.partitionBy("time"))).where("_d IS NOT NULL").select(site, "time", "_d")
-    pairs = own.select(F.col(site).alias("a"), "time", F.col("_d").alias("_x")).join(own.select(F.col(site).alias("b"), "time", F.col("_d").alias("_y")), "time")
-    pairs = pairs.withColumn("_rx", stats.average_rank("_x", ["a", "b"])).withColumn("_ry", stats.average_rank("_y", ["a", "b"]))
-    return pairs.groupBy("a", "b").agg(F.corr("_rx", "_ry").alias("corr"))
+    n = max(1, -(-own.select(site).distinct().count() // block))
+    own = own.withColumn("_b", F.pmod(F.xxhash64(site), F.lit(n)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    own = own.select(site, "time", "_d", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    kind = df.schema[site].dataType.simpleString()
+
+    def centred(x: np.ndarray) -> np.ndarray:
+        r = pd.DataFrame(x).rank(axis=1).to_numpy()
+        r -= np.nanmean(r, axis=1, keepdims=True)
+        return r
+
+    def corr(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
+        wide = pdf.pivot(index=site, columns="time", values="_d").sort_index()
+        of = pdf.groupby(site)["_b"].first().reindex(wide.index).to_numpy()
+        x = wide.to_numpy(float)
+        full = ~np.isnan(x).any(axis=1)
+        r = np.zeros_like(x)
+        if full.any():
+            r[full] = centred(x[full])
+        norm = np.sqrt((r * r).sum(axis=1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = (r @ r.T) / (norm[:, None] * norm[None, :])
+            for a in range(len(x)):
+                for b in range(len(x)) if not full[a] else np.flatnonzero(~full):
+                    both = ~np.isnan(x[a]) & ~np.isnan(x[b])
+                    p, q = centred(x[[a, b]][:, both]) if both.any() else (np.zeros(0), np.zeros(0))
+                    out[a, b] = out[b, a] = (p @ q) / math.sqrt((p @ p) * (q @ q)) if (p @ p) * (q @ q) > 0 else np.nan
+        a, b = np.nonzero((of[:, None] == i) & (of[None, :] == j) | (of[:, None] == j) & (of[None, :] == i))
+        # of pairs that know no time in common there is no row
+        met = np.array([full[k] and full[m] or (~np.isnan(x[k]) & ~np.isnan(x[m])).any() for k, m in zip(a, b)], bool)
+        return pd.DataFrame({"a": wide.index.to_numpy()[a[met]], "b": wide.index.to_numpy()[b[met]], "corr": out[a[met], b[met]]})
+
+    found = own.groupBy("_i", "_j").applyInPandas(corr, f"a {kind}, b {kind}, corr double")
+    return found.withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
+
+
+def with_distances(pairs: DataFrame, sites: DataFrame, site: str = "site") -> DataFrame:
+    """Pairs (a, b) with `km`: the places come by two equal joins."""
+    one = lambda name, k: sites.select(F.col(site).alias(name), F.col("lon").alias(f"_lon{k}"), F.col("lat").alias(f"_lat{k}"))
+    km = F.when(F.col("a") == F.col("b"), 0.0).otherwise(C.great_circle(F.col("_lon0"), F.col("_lat0"), F.col("_lon1"), F.col("_lat1")))
+    return pairs.join(one("a", 0), "a").join(one("b", 1), "b").withColumn("km", km).drop("_lon0", "_lat0", "_lon1", "_lat1")
 
 
 def distances(sites: DataFrame, site: str = "site") -> DataFrame:
-    """(a, b, km) of all pairs of sites with `lon` and `lat`."""
-    a = sites.select(F.col(site).alias("a"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
-    b = sites.select(F.col(site).alias("b"), "lon", "lat")
-    return a.crossJoin(b).select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(C.great_circle(F.col("_lon"), F.col("_lat"), F.col("lon"), F.col("lat"))).alias("km"))
+    """(a, b, km) of all pairs of sites with `lon` and `lat`: the matrix that is asked for."""
+    b = sites.select(F.col(site).alias("b"))
+    return with_distances(sites.select(F.col(site).alias("a")).crossJoin(b), sites, site).select("a", "b", "km")
+
+
+def _correlations(df: DataFrame, sites: DataFrame, site: str, value: str) -> DataFrame:
+    """(a, b, corr, km) of pairs of sites."""
+    return with_distances(pairwise_spearman(df, site, value), sites, site)
 
 
-def spatial_correlogram(df: DataFrame, sites: DataFrame, bins: int = 100, site: str = "site", value: str = "value") -> DataFrame:
-    """(distance, corr): mean correlation of the pairs in each bin between the least and the greatest distance."""
-    pairs = pairwise_spearman(df, site, value).where("a < b").join(distances(sites, site), ["a", "b"])
-    ends = distances(sites, site).where("a < b").agg((F.min("km") * 0.9999).alias("_low"), (F.max("km") * 1.0001).alias("_high"))
-    own = pairs.where("corr IS NOT NULL").crossJoin(F.broadcast(ends)).withColumn("_w", (F.col("_high") - F.col("_low")) / bins)
-    own = own.withColumn("_bin", F.least(F.floor((F.col("km") - F.col("_low")) / F.col("_w")), F.lit(bins - 1)))
-    return own.groupBy("_bin").agg((F.first("_low") + (F.col("_bin") + 0.5) * F.first("_w")).alias("distance"), F.avg("corr").alias("corr")).drop("_bin")
+def spatial_correlogram(df: DataFrame, sites: DataFrame, bins: int | Sequence[float] = 100, site: str = "site", value: str = "value") -> DataFrame:
+    """(distance, corr): mean correlation of the pairs in each bin; a number of bins between the least and the greatest distance, or their edges."""
+    pairs = _correlations(df, sites, site, value).where("a < b")
+    if isinstance(bins, int):
+        ends = pairs.agg((F.min("km") * 0.9999).alias("_low"), (F.max("km") * 1.0001).alias("_high"))
+        own = pairs.where("corr IS NOT NULL").crossJoin(F.broadcast(ends)).withColumn("_w", (F.col("_high") - F.col("_low")) / bins)
+        own = own.withColumn("_bin", F.least(F.floor((F.col("km") - F.col("_low")) / F.col("_w")), F.lit(bins - 1)))
+        return own.groupBy("_bin").agg((F.first("_low") + (F.col("_bin") + 0.5) * F.first("_w")).alias("distance"), F.avg("corr").alias("corr")).drop("_bin")
+    edges = F.array(*(F.lit(float(e)) for e in sorted(bins)))
+    at = F.size(F.filter(edges, lambda e: e < F.col("km")))  # bins hold their upper edge
+    own = pairs.where("corr IS NOT NULL").withColumn("_bin", at).where((F.col("_bin") > 0) & (F.col("_bin") < len(bins)))
+    return own.groupBy("_bin").agg(((F.get(edges, F.col("_bin") - 1) + F.get(edges, F.col("_bin"))) / 2).alias("distance"), F.avg("corr").alias("corr")).drop("_bin")
 
 
 def decorrelation_length(df: DataFrame, sites: DataFrame, radius: float = 300, thresh: float = 0.5, bins: int = 100, site: str = "site", value: str = "value") -> DataFrame:
     """(site, length): the centre of the bin of distances whose mean correlation is nearest to the threshold."""
     width = radius / bins
-    near = pairwise_spearman(df, site, value).join(distances(sites, site).where(F.col("km") < radius), ["a", "b"]).where("corr IS NOT NULL")
+    near = _correlations(df, sites, site, value).where(F.col("km") < radius).where("corr IS NOT NULL")
     binned = near.groupBy("a", F.floor(F.col("km") / width).alias("_bin")).agg(F.avg("corr").alias("_c"))
     best = F.min(F.struct(F.abs(F.col("_c") - thresh).alias("d"), "_bin"))["_bin"]
     return binned.groupBy(F.col("a").alias(site)).agg(((best + 0.5) * width).alias("length"))

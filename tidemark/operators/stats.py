@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.functions import kernels as K
 
 
 def average_rank(value: str, part: Sequence[str]) -> Column:
     """Rank from 1 among the values of a part, ties averaged, NULL for NULL."""
-    known = F.col(value).isNotNull()
-    rank = F.rank().over(Window.partitionBy(*part, known).orderBy(value)) + (F.count("*").over(Window.partitionBy(*part, value)) - 1) / 2
-    return F.when(known, rank)
+    order = Window.partitionBy(*part).orderBy(F.col(value).asc_nulls_last())
+    ties = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(F.col(value).isNotNull(), F.rank().over(order) + (ties - 1) / 2)
 
 
 def percent_rank(df: DataFrame, value: str, part: Sequence[str], out: str = "rank", tie_break: Sequence[Column | str] | None = None, seed: int = 0) -> DataFrame:
@@ -24,7 +27,7 @@ def percent_rank(df: DataFrame, value: str, part: Sequence[str], out: str = "ran
     """
     known = F.col(value).isNotNull()
     if tie_break:
-        rank = F.when(known, F.row_number().over(Window.partitionBy(*part, known).orderBy(value, C.uniform(*tie_break, seed=seed))).cast("double"))
+        rank = F.when(known, F.row_number().over(Window.partitionBy(*part).orderBy(F.col(value).asc_nulls_last(), C.uniform(*tie_break, seed=seed))).cast("double"))
     else:
         rank = average_rank(value, part)
     whole = Window.partitionBy(*part)
@@ -105,3 +108,28 @@ def histogram(df: DataFrame, widths: dict[str, float], origin: float = 0.0, by:
     out = own.groupBy(*by, *cell).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(*by))
     return out.select(*by, *names, *(((F.col(f"bin_{v}") + 0.5) * w + origin).alias(f"centre_{v}") for v, w in widths.items()), (F.col("n") / total).alias("frequency"))
+
+
+def first_known(value: str, time: str = "time") -> Column:
+    """The earliest value that isn't NULL, as an aggregate."""
+    return F.min_by(value, F.when(F.col(value).isNotNull(), F.col(time)))
+
+
+def last_known(value: str, time: str = "time") -> Column:
+    return F.max_by(value, F.when(F.col(value).isNotNull(), F.col(time)))
+
+
+def fitted(df: DataFrame, dist: str, method: str = "ML", by: Sequence[str] = (), value: str = "value", loc: float | None = None) -> DataFrame:
+    """(by, shape, loc, scale): a distribution fitted to the values of each part, see kernels.fit(); NULL where there is no fit."""
+    if dist not in K.DENSITIES:
+        raise ValueError(f"dist is one of {sorted(K.DENSITIES)}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[list(by)].head(1).reset_index(drop=True).copy() if by else pd.DataFrame(index=[0])
+        found = K.fit(pdf[value].to_numpy(float), dist, method, loc)
+        for name, x in zip(("shape", "loc", "scale"), found):
+            out[name] = None if math.isnan(x) else x
+        return out
+
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by), "shape double, loc double, scale double"])
+    return df.select(*by, value).groupBy(*(by or [F.lit("all")])).applyInPandas(run, schema)
