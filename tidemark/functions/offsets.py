@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from typing import NamedTuple
 
@@ -51,3 +52,24 @@ def begins_period(month: int, freq: str) -> bool:
     first = ANCHORS.index(o.anchor) + (0 if o.start else 1)
     step = 3 if o.base == "Q" else 12
     return (month - 1 - first) % step == 0
+
+
+#: Months of a step.
+MONTHS = {"M": 1, "Q": 3, "Y": 12}
+COMPARE = {"<": operator.lt, "<=": operator.le, "==": operator.eq, "!=": operator.ne, ">=": operator.ge, ">": operator.gt}
+
+
+def compare(one: str, op: str, other: str) -> bool:
+    """Whether the length of one frequency is less than, ... that of the other."""
+    if op not in COMPARE:
+        raise ValueError(f"op is one of {sorted(COMPARE)}")
+    return COMPARE[op](length(one), length(other))
+
+
+def months(freq: str) -> tuple[int, int]:
+    """Months of a step, and the first month (from 0) of a base period."""
+    o = parse(freq)
+    if o.base not in MONTHS:
+        raise ValueError(f"{freq!r} has no whole months")
+    first = 0 if o.anchor is None else ANCHORS.index(o.anchor) + (0 if o.start else 1)
+    return o.multiple * MONTHS[o.base], first % MONTHS[o.base]

@@ -104,3 +104,48 @@ def to_wavenumber(wavelength: Column, delta: float) -> Column:
 
 def to_wavelength(alpha: Column, delta: float) -> Column:
     return 2 * delta / alpha
+
+
+#: Temperature is told on its scale or as a difference.
+TEMPERATURE = (0, 0, 0, 1)
+
+
+def symbol(text: str) -> str:
+    """A unit as symbols with signed powers: `mm/d` is `mm d-1`."""
+    out = []
+    for sign, part in zip([1] + [-1] * text.count("/"), text.strip().split("/")):
+        for token in part.replace("*", " ").split():
+            m = re.fullmatch(r"(?:delta_)?([A-Za-z%]+|1)(?:\^|\*\*)?(-?\d+)?", token)
+            if not m or m[1] not in UNITS:
+                raise ValueError(f"unknown unit {token!r} in {text!r}")
+            power = sign * int(m[2] or 1)
+            if m[1] != "1":
+                out.append(m[1] + ("" if power == 1 else str(power)))
+    return " ".join(out) or "1"
+
+
+def cf_attributes(text: str, is_difference: bool | None = None) -> dict[str, str]:
+    """Attributes of a unit: `units`, and for temperatures whether they are on a scale or differences."""
+    if "delta_" in text:
+        is_difference = True
+    out = {"units": symbol(text)}
+    if parse(out["units"]).powers == TEMPERATURE:
+        out["units_metadata"] = "temperature: " + {True: "difference", False: "on_scale", None: "unknown"}[is_difference]
+    return out
+
+
+def product(x: Column, unit: str, quantity_text: str, target: str | None = None) -> tuple[Column, str]:
+    """A column in some unit times a quantity: the column, and its unit, the target if one is given."""
+    m = re.fullmatch(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*(.*)", quantity_text)
+    if not m:
+        raise ValueError(f"no number in {quantity_text!r}")
+    own = symbol(f"{symbol(unit)} {symbol(m[2] or '1')}")
+    out = x * float(m[1])
+    return (out, own) if target is None else (convert(out, own, target), target)
+
+
+def harmonise(frames: list[DataFrame], value: str = "value") -> list[DataFrame]:
+    """Frames whose values are all in the unit of the first, as their metadata tell; none of them may lack one that others have."""
+    found = [df.schema[value].metadata.get("units") for df in frames]
+    unit = harmonised(found)
+    return [df if u == unit else df.withColumn(value, convert(F.col(value), u, unit).alias(value, metadata={**df.schema[value].metadata, "units": unit})) for df, u in zip(frames, found)]

@@ -5,20 +5,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.functions.kernels import bends
+from tidemark.operators.periods import rescale_days
 
 
 @dataclass(frozen=True)
 class Grouper:
-    """A way to group times: "time" is the whole series; `window` widens each group by neighbouring steps."""
+    """A way to group times: "time" is the whole series; `window` widens each group by neighbouring steps.
+
+    add_dims: site columns whose series count together in a group, as members of an ensemble.
+    """
 
     group: str = "time"
     window: int = 1
+    add_dims: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "add_dims", tuple(self.add_dims))
         if self.group not in C.GROUPS:
             raise ValueError(f"group {self.group!r} isn't one of {C.GROUPS}")
         if self.window < 1 or self.group == "time" and self.window > 1:
@@ -31,6 +40,24 @@ class Grouper:
             raise ValueError(f"group {out.group!r} isn't one of {list(allowed)}")
         return out
 
+    @classmethod
+    def from_kwargs(cls, **kwargs) -> tuple[Grouper, dict]:
+        """A Grouper from `group`, `window` and `add_dims`, and the other arguments."""
+        rest = dict(kwargs)
+        own = {k: rest.pop(k) for k in ("group", "window", "add_dims") if k in rest}
+        group = own.pop("group", "time")
+        if isinstance(group, cls):
+            if own:
+                raise ValueError("a Grouper holds window and add_dims itself")
+            return group, rest
+        return cls(group, **own), rest
+
+    def sites(self, by: Sequence[str]) -> list[str]:
+        """The site columns that tell groups apart."""
+        if missing := set(self.add_dims) - set(by):
+            raise ValueError(f"{sorted(missing)} are no site columns")
+        return [b for b in by if b not in self.add_dims]
+
     def key(self, time: Column | str = "time") -> Column:
         return C.group_key(F.col(time) if isinstance(time, str) else time, self.group)
 
@@ -76,8 +103,14 @@ def broadcast_groups(df: DataFrame, table: DataFrame, group: str | Grouper, valu
     g = Grouper.of(group)
     if interp == "nearest" or g.group == "time":
         return df.withColumn("grp", g.key(time)).join(table.select(*by, "grp", F.col(value).alias(out)), [*by, "grp"], "left").drop("grp")
+    if interp == "cubic":
+        knots = cyclic(table.select(*by, "grp", F.col(value).cast("double").alias("_v")), g).where("_v IS NOT NULL").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("grp").cast("double").alias("x"), F.col("_v").alias("y")))).alias("_k"))
+        knots = with_bends(knots.select(*by, F.col("_k.x").alias("_xq"), F.col("_k.y").alias("_yq")))
+        own = df.withColumn("_index", g.index(time))
+        own = own.join(knots, list(by), "left") if by else own.crossJoin(F.broadcast(knots))
+        return own.withColumn(out, C.cubic(F.col("_index"), F.col("_xq")["x"], F.col("_xq")["y"], F.col("_xq")["m"])).drop("_index", "_xq", "_yq")
     if interp != "linear":
-        raise ValueError(f"interp is nearest or linear, not {interp!r}")
+        raise ValueError(f"interp is nearest, linear or cubic, not {interp!r}")
     padded = cyclic(table.select(*by, "grp", F.col(value).alias("_v")), g)
     low = F.floor("_index").cast("int")
     own = df.withColumn("_index", g.index(time)).withColumn("_low", low)
@@ -88,6 +121,27 @@ def broadcast_groups(df: DataFrame, table: DataFrame, group: str | Grouper, valu
     return own.withColumn(out, value_at).drop("_index", "_low", "_high", "_v0", "_v1")
 
 
+def with_bends(knots: DataFrame) -> DataFrame:
+    """The small table of knots with `_xq` as a struct of distinct knots, their values and the spline's second derivatives."""
+
+    @F.pandas_udf("x array<double>, y array<double>, m array<double>")
+    def bend(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(xs, ys):
+            x, first = np.unique(np.asarray(x, float), return_index=True)
+            y = np.asarray(y, float)[first]
+            rows.append((x, y, bends(x, y)))
+        return pd.DataFrame(rows, columns=["x", "y", "m"])
+
+    return knots.withColumn("_xq", bend("_xq", "_yq"))
+
+
+def longest_days(*tables: DataFrame, by: Sequence[str] = (), doy: str = "grp", value: str = "value") -> list[DataFrame]:
+    """Tables by day of the year on the calendar of the longest of them: shorter ones are stretched."""
+    most = [t.agg(F.max(doy)).first()[0] or 0 for t in tables]
+    return [t if n == max(most) else rescale_days(t, max(most), by, doy, value, n) for t, n in zip(tables, most)]
+
+
 def time_blocks(df: DataFrame, group: str, window: int = 1, by: Sequence[str] = (), time: str = "time") -> DataFrame:
     """df with `block`: the whole series, days of the year, or the 73 blocks of five days ("5D"), each with its window.
 

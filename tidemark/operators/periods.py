@@ -4,48 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import offsets
 
-def stack_periods(df: DataFrame, window: int = 30, stride: int | None = None, min_length: int | None = None, by: Sequence[str] = (), time: str = "time") -> DataFrame:
-    """df with `period` (start of a window of years) and `step` (from 1): a row for each window that a time falls in.
 
-    Windows start every `stride` years from the first whole year on and end where the first one reaches
-    beyond the record with fewer than `min_length` years in it. The rows of a time go to at most
-    window / stride windows, found by arithmetic on its year, without a join.
+def _base(time: Column, months: int, first: int) -> Column:
+    """The number of the base period that a time falls in."""
+    return F.floor((F.year(time) * 12 + F.month(time) - 1 - first) / months).cast("int")
+
+
+def _start(number: Column, months: int, first: int) -> Column:
+    month = number * months + first
+    return F.make_date(F.floor(month / 12).cast("int"), (F.pmod(month, F.lit(12)) + 1).cast("int"), F.lit(1))
+
+
+def stack_periods(df: DataFrame, window: int = 30, stride: int | None = None, min_length: int | None = None, by: Sequence[str] = (), time: str = "time", freq: str = "YS", align_days: bool = False, start: str | None = None, pad_value: float | None = None, value: str = "value") -> DataFrame:
+    """df with `period` (start of a window) and `step` (from 1): a row for each window that a time falls in.
+
+    Windows are `window` steps of freq (years, quarters or months) long and start every `stride` of them from
+    the base period of the first time on. One must be covered to its end, or to min_length steps; where that
+    is the window and periods are years or quarters, the first one counts only if the record begins in its
+    first month. The rows of a time go to at most window / stride windows, found by arithmetic, without a join.
+
+    align_days asks that days meet across periods, which dates of the standard calendar only do within single
+    months. start adds `placeholder`, one time axis for all windows, in days. pad_value fills windows up to the
+    longest with rows of that value and without a time.
     """
     stride = window if stride is None else stride
     least = window if min_length is None else min_length
     if stride > window or least > window:
         raise ValueError("stride and min_length are at most the window")
+    months, first = offsets.months(freq)
+    if align_days and (months >= 12 or window > 1):
+        raise ValueError(f"days of {window} {freq} don't meet across periods of the standard calendar")
     whole = Window.partitionBy(*by)
-    own = df.withColumn("_y", F.year(time)).withColumn("_from", F.min(time).over(whole)).withColumn("_to", F.max(time).over(whole))
-    first = F.year("_from") + F.when((F.month("_from") == 1), 0).otherwise(1)
-    last = F.year("_to") - F.when((F.month("_to") == 12) & (F.dayofmonth("_to") == 31), 0).otherwise(1)
-    own = own.withColumn("_first", first).withColumn("_last", last)
-    # windows k start at first + k stride; a time of year y is in those from y - window + 1 to y
-    low = F.greatest(F.lit(0), F.ceil((F.col("_y") - window + 1 - F.col("_first")) / stride).cast("int"))
-    high = F.floor((F.col("_y") - F.col("_first")) / stride).cast("int")
+    seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
+    own = df.withColumn("_b", _base(F.col(time), months, first)).withColumn("_from", F.min(time).over(whole)).withColumn("_first", F.min("_b").over(whole))
+    # the record ends one step behind its last time
+    step = F.coalesce(F.try_divide(F.max(seconds).over(whole) - F.min(seconds).over(whole), F.count(F.lit(1)).over(whole) - 1), F.lit(0.0))
+    own = own.withColumn("_end", F.max(seconds).over(whole) + step)
+    # window k starts at first + k stride; a time of base period b is in those that start from b - window + 1 to b
+    low = F.greatest(F.lit(0), F.ceil((F.col("_b") - window + 1 - F.col("_first")) / stride).cast("int"))
+    high = F.floor((F.col("_b") - F.col("_first")) / stride).cast("int")
     own = own.where(high >= low).withColumn("_k", F.explode(F.sequence(low, high)))
-    start = F.col("_first") + F.col("_k") * stride
-    own = own.withColumn("_start", start).where((start + least - 1 <= F.col("_last")) & (F.col("_y") <= F.col("_last")))
-    # after the first window that isn't full none follows
-    own = own.where((F.col("_k") == 0) | (start - stride + window - 1 <= F.col("_last")))
-    out = own.withColumn("period", F.make_date("_start", F.lit(1), F.lit(1)))
-    out = out.withColumn("step", F.row_number().over(Window.partitionBy(*by, "period").orderBy(time)))
-    return out.drop("_y", "_from", "_to", "_first", "_last", "_k", "_start")
+    at = F.col("_first") + F.col("_k") * stride
+    covered = lambda k, n: F.unix_timestamp(_start(F.col("_first") + k * stride + n, months, first).cast("timestamp")) <= F.col("_end") + 0.5
+    # none follows the first that isn't covered
+    own = own.withColumn("_at", at).where(covered(F.col("_k"), least))
+    if least == window and months % 3 == 0:
+        opening = F.year("_from") * 12 + F.month("_from") - 1 == F.col("_first") * months + first
+        own = own.where((F.col("_k") > 0) | opening)
+    out = own.withColumn("period", _start(F.col("_at"), months, first))
+    out = out.withColumn("step", F.row_number().over(Window.partitionBy(*by, "period").orderBy(time))).drop("_b", "_from", "_end", "_first", "_k", "_at")
+    if pad_value is not None:
+        sizes = out.groupBy(*by, "period").agg(F.max("step").alias("_n"))
+        longest = sizes.agg(F.max("_n").alias("_most"))
+        short = sizes.crossJoin(F.broadcast(longest)).where("_n < _most").withColumn("step", F.explode(F.sequence(F.col("_n") + 1, F.col("_most")))).drop("_n", "_most")
+        out = out.unionByName(short.withColumn(value, F.lit(pad_value).cast(df.schema[value].dataType)), allowMissingColumns=True)
+    return out if start is None else out.withColumn("placeholder", F.date_add(F.lit(start).cast("date"), F.col("step") - 1))
 
 
-def unstack_periods(df: DataFrame, window: int, stride: int, by: Sequence[str] = (), time: str = "time") -> DataFrame:
+def unstack_periods(df: DataFrame, window: int, stride: int, by: Sequence[str] = (), time: str = "time", freq: str = "YS") -> DataFrame:
     """One row a time again: windows side by side as they are, else the middle stride of each; the first keeps all before it, the last all behind."""
+    df = df.where(F.col(time).isNotNull()).drop("placeholder")
     if window == stride:
         return df.drop("period", "step")
     if window % stride or (window // stride) % 2 == 0:
         raise NotImplementedError("window / stride is an odd whole number")
+    months, first = offsets.months(freq)
     half = (window // stride) // 2
     whole = Window.partitionBy(*by)
-    place = F.floor((F.year(time) - F.year("period")) / stride)
+    place = F.floor((_base(F.col(time), months, first) - _base(F.col("period"), months, first)) / stride)
     own = df.withColumn("_p", place).withColumn("_first", F.min("period").over(whole)).withColumn("_last", F.max("period").over(whole))
     keep = (F.col("_p") == half) | ((F.col("period") == F.col("_first")) & (F.col("_p") < half)) | ((F.col("period") == F.col("_last")) & (F.col("_p") > half))
     return own.where(keep).drop("_p", "_first", "_last", "period", "step")
