@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.functions import provenance
 from tidemark.operators import adjust as A
 from tidemark.operators import detrend as D
 from tidemark.operators import measures as M
@@ -38,6 +39,12 @@ def rank_sql(source: str, value: str, keys: str, out: str = "r") -> str:
     (SELECT *, (rank() OVER (PARTITION BY {keys} ORDER BY {value}) + (count(*) OVER (PARTITION BY {keys}, {value}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY {keys}) AS p FROM {source})))"""
 
 
+def full(model: A.Model, sim: DataFrame, **options) -> DataFrame:
+    """adjust() with the columns that lead to scen."""
+    with provenance.options(extra_output=True):
+        return model.adjust(sim, **options)
+
+
 # adjustments
 
 TABLE = """hq AS (SELECT site, {g} AS grp, quantile_cont(value, {n}) AS hist_q FROM hist GROUP BY ALL),
@@ -63,7 +70,7 @@ near AS (SELECT s.site, s.time, s.value, s.g AS grp, arg_min(yq, {'d': (s.value
 def eqm_month(spark: SparkSession, sf: str) -> DataFrame:
     s = Series(spark, sf)
     model = A.train("eqm", s.ref, s.hist, nquantiles=20, kind="+", group="time.month", by=BY)
-    return rounded(model.adjust(s.sim).select("site", "time", "af", "scen"), "af", "scen")
+    return rounded(full(model, s.sim).select("site", "time", "af", "scen"), "af", "scen")
 
 
 @query("eqm_time_mul_linear", f"""WITH {TABLE.format(g='1', n=N20, c='p[2] / nullif(p[1], 0)')},
@@ -72,7 +79,7 @@ def eqm_month(spark: SparkSession, sf: str) -> DataFrame:
 def eqm_time(spark: SparkSession, sf: str) -> DataFrame:
     s = Series(spark, sf)
     model = A.train("eqm", s.ref, s.hist, nquantiles=20, kind="*", by=BY)
-    return rounded(model.adjust(s.sim, interp="linear").select("site", "time", "af", "scen"), "af", "scen")
+    return rounded(full(model, s.sim, interp="linear").select("site", "time", "af", "scen"), "af", "scen")
 
 
 @query("eqm_tail_factor", f"""WITH {TABLE.format(g='1', n=N20, c='p[2] - p[1]')},
@@ -84,6 +91,25 @@ def eqm_tail(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(model.adjust(s.sim).select("site", "time", "scen"), "scen")
 
 
+def suppliers(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """ref, hist and sim with each supplier as a site: many sites with few values each."""
+    value = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double") / 100000
+    daily = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("site"), F.col("l_linestatus").alias("st"), F.col("l_shipdate").cast("date").alias("time")).agg(value.alias("value"))
+    before = F.col("time") < F.lit("1999-01-01").cast("date")
+    return [daily.where(w).select("site", "time", "value") for w in ((F.col("st") == "O") & before, (F.col("st") == "F") & before, (F.col("st") == "F") & ~before)]
+
+
+@query("eqm_many_sites", f"""WITH own AS (SELECT l_suppkey AS site, l_linestatus AS st, CAST(l_shipdate AS DATE) AS time, CAST(SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100000 AS value FROM lineitem GROUP BY 1, 2, 3),
+    hq AS (SELECT site, quantile_cont(value, {N20}) AS hist_q FROM own WHERE st = 'F' AND time < DATE '1999-01-01' GROUP BY ALL), rq AS (SELECT site, quantile_cont(value, {N20}) AS ref_q FROM own WHERE st = 'O' AND time < DATE '1999-01-01' GROUP BY ALL),
+    model AS (SELECT site, hist_q, list_transform(list_zip(hist_q, ref_q), lambda p: p[2] - p[1]) AS af FROM hq JOIN rq USING (site)),
+    f AS (SELECT site, time, value, {NEAREST.format(x='value', q='hist_q', y='af')} AS af_ FROM (SELECT site, time, value FROM own WHERE st = 'F' AND time >= DATE '1999-01-01') LEFT JOIN model USING (site))
+    SELECT site, time, {R6('value + af_')} AS scen FROM f""")
+def eqm_sites(spark: SparkSession, sf: str) -> DataFrame:
+    ref, hist, sim = suppliers(spark, sf)
+    model = A.train("eqm", ref, hist, nquantiles=20, kind="+", by=BY)
+    return rounded(model.adjust(sim).select("site", "time", "scen"), "scen")
+
+
 @query("qdm_month_add", f"""WITH {TABLE.format(g='month(time)', n=N10, c='p[2] - p[1]')},
     k AS (SELECT *, month(time) AS grp FROM sim), q AS {rank_sql('k', 'value', 'site, grp', 'sim_q')},
     f AS (SELECT q.site, time, value, sim_q, CASE WHEN sim_q IS NOT NULL THEN {NEAREST.format(x='sim_q', q=f'({N10}::DOUBLE[])', y='af')} END AS af_ FROM q LEFT JOIN model USING (site, grp))
@@ -91,7 +117,7 @@ def eqm_tail(spark: SparkSession, sf: str) -> DataFrame:
 def qdm_month(spark: SparkSession, sf: str) -> DataFrame:
     s = Series(spark, sf)
     model = A.train("qdm", s.ref, s.hist, nquantiles=10, kind="+", group="time.month", by=BY)
-    return rounded(model.adjust(s.sim).select("site", "time", "sim_q", "scen"), "sim_q", "scen")
+    return rounded(full(model, s.sim).select("site", "time", "sim_q", "scen"), "sim_q", "scen")
 
 
 @query("dqm_time_mul", f"""WITH m AS (SELECT site, quantile_cont(value, {N20}) AS h, avg(value) AS mh FROM hist GROUP BY ALL), n AS (SELECT site, quantile_cont(value, {N20}) AS r, avg(value) AS mr FROM ref GROUP BY ALL),
@@ -105,7 +131,7 @@ def qdm_month(spark: SparkSession, sf: str) -> DataFrame:
 def dqm_time(spark: SparkSession, sf: str) -> DataFrame:
     s = Series(spark, sf)
     model = A.train("dqm", s.ref, s.hist, nquantiles=20, kind="*", by=BY)
-    return rounded(model.adjust(s.sim).select("site", "time", "trend", "scen"), "trend", "scen")
+    return rounded(full(model, s.sim).select("site", "time", "trend", "scen"), "trend", "scen")
 
 
 INDEX = "(month(time) - 0.5::DOUBLE + day(time)::DOUBLE / day(last_day(time)))"
@@ -121,7 +147,7 @@ def between_sql(table: str, value: str, out: str, source: str = "sim") -> str:
     SELECT site, time, {R6('f')} AS af, {R6('value + f')} AS scen FROM {between_sql('model', 'af', 'f')}""")
 def scaling_month(spark: SparkSession, sf: str) -> DataFrame:
     s = Series(spark, sf)
-    out = A.train("scaling", s.ref, s.hist, kind="+", group="time.month", by=BY).adjust(s.sim, interp="linear")
+    out = full(A.train("scaling", s.ref, s.hist, kind="+", group="time.month", by=BY), s.sim, interp="linear")
     return rounded(out.select("site", "time", "af", "scen"), "af", "scen")
 
 
@@ -136,7 +162,7 @@ def scaling_month(spark: SparkSession, sf: str) -> DataFrame:
     SELECT site, time, {R6('t')} AS hist_thresh, {R6('greatest(0, f * (value - t) + 60)')} AS scen FROM b""")
 def loci_month(spark: SparkSession, sf: str) -> DataFrame:
     s = Series(spark, sf)
-    out = A.train("loci", s.ref, s.hist, thresh=60.0, group="time.month", by=BY).adjust(s.sim)
+    out = full(A.train("loci", s.ref, s.hist, thresh=60.0, group="time.month", by=BY), s.sim)
     return rounded(out.select("site", "time", "hist_thresh", "scen"), "hist_thresh", "scen")
 
 
@@ -171,7 +197,7 @@ def eqm_doy_window(spark: SparkSession, sf: str) -> DataFrame:
 def qdm_rank_window(spark: SparkSession, sf: str) -> DataFrame:
     s = Series(spark, sf)
     model = A.train("qdm", s.ref, s.hist, nquantiles=10, group=Grouper("time.dayofyear", 5), by=BY)
-    return rounded(model.adjust(s.sim, rank_window=True).select("site", "time", "sim_q"), "sim_q")
+    return rounded(full(model, s.sim, rank_window=True).select("site", "time", "sim_q"), "sim_q")
 
 
 @query("dqm_month_add", f"""WITH m AS (SELECT site, month(time) AS grp, quantile_cont(value, {N20}) AS h, avg(value) AS mh FROM hist GROUP BY ALL), n AS (SELECT site, month(time) AS grp, quantile_cont(value, {N20}) AS r, avg(value) AS mr FROM ref GROUP BY ALL),
@@ -185,7 +211,7 @@ def qdm_rank_window(spark: SparkSession, sf: str) -> DataFrame:
 def dqm_month(spark: SparkSession, sf: str) -> DataFrame:
     s = Series(spark, sf)
     model = A.train("dqm", s.ref, s.hist, nquantiles=20, kind="+", group="time.month", by=BY)
-    return rounded(model.adjust(s.sim).select("site", "time", "trend", "scen"), "trend", "scen")
+    return rounded(full(model, s.sim).select("site", "time", "trend", "scen"), "trend", "scen")
 
 
 @query("eqm_time_cubic")
@@ -272,11 +298,8 @@ def unstacked(spark: SparkSession, sf: str) -> DataFrame:
     return P.unstack_variables(P.stack_variables(own, ["price", "qty", "disc"], ["site", "time"]), ["price", "qty", "disc"], ["site", "time"])
 
 
-@query("escore_yearly", f"""WITH y AS (SELECT site, time, value, qty, avg(value) OVER (PARTITION BY site) AS m, stddev_pop(value) OVER (PARTITION BY site) AS s, avg(qty) OVER (PARTITION BY site) AS mq, stddev_pop(qty) OVER (PARTITION BY site) AS sq FROM ref),
-    p AS (SELECT DISTINCT site, m, s, mq, sq FROM y),
-    a AS (SELECT site, (value - m) / s AS u, (qty - mq) / sq AS v, row_number() OVER (PARTITION BY site ORDER BY time) - 1 AS k, greatest(1, ceil(count(*) OVER (PARTITION BY site) / 200.0)) AS e FROM y),
-    b AS (SELECT hist.site, (value - m) / s AS u, (qty - mq) / sq AS v, row_number() OVER (PARTITION BY hist.site ORDER BY time) - 1 AS k, greatest(1, ceil(count(*) OVER (PARTITION BY hist.site) / 200.0)) AS e FROM hist JOIN p USING (site)),
-    x AS (SELECT * FROM a WHERE k % e = 0), z AS (SELECT * FROM b WHERE k % e = 0),
+@query("escore_all", f"""WITH p AS (SELECT site, avg(value) AS m, stddev_pop(value) AS s, avg(qty) AS mq, stddev_pop(qty) AS sq FROM ref GROUP BY site),
+    x AS (SELECT site, (value - m) / s AS u, (qty - mq) / sq AS v FROM ref JOIN p USING (site)), z AS (SELECT site, (value - m) / s AS u, (qty - mq) / sq AS v FROM hist JOIN p USING (site)),
     xy AS (SELECT x.site, avg(sqrt((x.u - z.u) ** 2 + (x.v - z.v) ** 2)) AS d FROM x JOIN z USING (site) GROUP BY ALL),
     xx AS (SELECT x.site, avg(sqrt((x.u - z.u) ** 2 + (x.v - z.v) ** 2)) AS d FROM x JOIN x z USING (site) GROUP BY ALL),
     zz AS (SELECT x.site, avg(sqrt((x.u - z.u) ** 2 + (x.v - z.v) ** 2)) AS d FROM z x JOIN z USING (site) GROUP BY ALL),
@@ -284,7 +307,7 @@ def unstacked(spark: SparkSession, sf: str) -> DataFrame:
     SELECT xy.site, {R6('n * o / (n + o)::DOUBLE * (2 * xy.d - xx.d - zz.d) / 2')} AS escore FROM xy JOIN xx USING (site) JOIN zz USING (site) JOIN n USING (site) JOIN o USING (site)""")
 def escore(spark: SparkSession, sf: str) -> DataFrame:
     s = Series(spark, sf)
-    return rounded(P.escore(s.ref, s.hist, ["value", "qty"], BY, n=200, scale=True), "escore")
+    return rounded(P.escore(s.ref, s.hist, ["value", "qty"], BY, scale=True), "escore")
 
 
 # order statistics
@@ -426,7 +449,21 @@ def poly1(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.detrended(D.polynomial(Series(spark, sf).hist, degree=1, by=BY)).select("site", "time", "trend", "value"), "trend", "value")
 
 
-@query("poly_detrend4")
+def orthogonal_sql(degree: int) -> str:
+    """Tables o0, o1, ... of hist with `trend` and the polynomial p orthogonal to those of lower degrees over the times of each site."""
+    out = ["""o0 AS (SELECT site, time, value, 2 * (t - t0) / (t1 - t0) - 1 AS x, 1.0::DOUBLE AS p, 0.0::DOUBLE AS b, 1.0::DOUBLE AS nb, m AS trend
+        FROM (SELECT site, time, value, epoch(time::TIMESTAMP) / 86400.0::DOUBLE AS t FROM hist) JOIN (SELECT site, min(epoch(time::TIMESTAMP)) / 86400.0::DOUBLE AS t0, max(epoch(time::TIMESTAMP)) / 86400.0::DOUBLE AS t1, avg(value) AS m FROM hist GROUP BY site) USING (site))"""]
+    for k in range(degree):
+        out += [
+            f"a{k} AS (SELECT site, sum(p * p) AS n, sum(x * p * p) / sum(p * p) AS a FROM o{k} GROUP BY site)",
+            f"q{k} AS (SELECT o{k}.*, (x - a) * p - n / nb * b AS q, n FROM o{k} JOIN a{k} USING (site))",
+            f"c{k} AS (SELECT site, sum(value * q) / sum(q * q) AS c FROM q{k} GROUP BY site)",
+            f"o{k + 1} AS (SELECT site, time, value, x, q AS p, p AS b, n AS nb, trend + c * q AS trend FROM q{k} JOIN c{k} USING (site))",
+        ]
+    return ", ".join(out)
+
+
+@query("poly_detrend4", f"WITH {orthogonal_sql(4)} SELECT site, time, {R6('trend')} AS trend, {R6('value - trend')} AS value FROM o4")
 def poly4(spark: SparkSession, sf: str) -> DataFrame:
     own = Series(spark, sf).hist.select("site", "time", "value")
     return rounded(D.detrended(D.polynomial(own, degree=4, by=BY)), "trend", "value")
@@ -438,7 +475,14 @@ def rolling(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.detrended(D.rolling_mean(Series(spark, sf).hist, 30, min_periods=20, by=BY)).select("site", "time", "value"), "value")
 
 
-@query("loess_detrend")
+@query("loess_detrend", f"""WITH s AS (SELECT site, value AS y, time, epoch(time::TIMESTAMP) / 86400.0::DOUBLE AS t, row_number() OVER (PARTITION BY site ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY site) AS n, lead(epoch(time::TIMESTAMP)) OVER (PARTITION BY site ORDER BY time) / 86400.0::DOUBLE - epoch(time::TIMESTAMP) / 86400.0::DOUBLE AS gap FROM hist),
+    g AS (SELECT site, min(gap) = max(gap) AS even, min(gap) AS dx, (2 * floor(0.1::DOUBLE * any_value(n) / 2) + 1)::BIGINT AS r, least(round_even(0.1::DOUBLE * any_value(n), 0), any_value(n) - 1)::BIGINT AS k FROM s GROUP BY site),
+    p AS (SELECT a.site, a.i, b.i AS j, abs(b.t - a.t) AS d, row_number() OVER (PARTITION BY a.site, a.i ORDER BY abs(b.t - a.t)) - 1 AS o FROM s a JOIN s b USING (site)),
+    h AS (SELECT s.site, i, CASE WHEN even THEN dx * CASE WHEN i < (r - 1) // 2 THEN r - i WHEN i >= n - (r - 1) // 2 THEN i - (n - r) + 1 ELSE (r - 1) // 2 + 1 END ELSE d END AS reach FROM s JOIN g USING (site) JOIN p USING (site, i) WHERE o = k),
+    w AS (SELECT a.site, a.i, power(1 - power(abs(b.t - a.t) / reach, 3), 3) AS w, b.t - a.t AS x, b.y FROM s a JOIN h USING (site, i) JOIN s b ON b.site = a.site AND abs(b.t - a.t) < reach),
+    z AS (SELECT site, i, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(w * y) AS y0, sum(w * x * y) AS y1 FROM w GROUP BY ALL),
+    f AS (SELECT site, i, y0 / s0 - CASE WHEN s2 - s1 * s1 / s0 > 0 THEN (y1 - s1 * y0 / s0) / (s2 - s1 * s1 / s0) * (s1 / s0) ELSE 0 END AS trend FROM z)
+    SELECT site, time, {R6('trend')} AS trend, {R6('y - trend')} AS value FROM s JOIN f USING (site, i)""")
 def loess_detrend(spark: SparkSession, sf: str) -> DataFrame:
     own = Series(spark, sf).hist.select("site", "time", "value")
     return rounded(D.detrended(D.local_regression(own, BY, f=0.1, d=1)), "trend", "value")
@@ -519,7 +563,17 @@ def spearman(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.corr_btw_var(Series(spark, sf).hist, ("value", "disc"), by=BY), "correlation")
 
 
-@query("corr_pvalue")
+def pvalue_sql(source: str, keys: str) -> str:
+    """SQL of the two-sided p-value of correlations r over n pairs: one less the finite series of Student's distribution in the angle whose sine is r."""
+    even = "(n - 2) % 2 = 0"
+    return f"""(WITH a AS (SELECT {keys}, abs(r) AS r, n FROM {source}),
+        j AS (SELECT {keys}, r, n, unnest(range(0, CASE WHEN {even} THEN (n - 2) // 2 ELSE (n - 3) // 2 END)) AS j FROM a),
+        l AS (SELECT {keys}, CASE WHEN {even} THEN 0 ELSE 0.5::DOUBLE * ln(1 - r * r) END + sum(CASE WHEN j = 0 THEN 0 ELSE ln(1 - r * r) + CASE WHEN {even} THEN ln((2 * j - 1) / (2 * j)::DOUBLE) ELSE ln(2 * j / (2 * j + 1)::DOUBLE) END END) OVER (PARTITION BY {keys} ORDER BY j) AS l FROM j WHERE r < 1),
+        t AS (SELECT {keys}, sum(exp(l)) AS s FROM l GROUP BY {keys})
+        SELECT {keys}, CASE WHEN n <= 2 THEN NULL WHEN r >= 1 THEN 0 WHEN {even} THEN 1 - r * coalesce(s, 0) ELSE 1 - 2 / pi() * (asin(r) + r * coalesce(s, 0)) END AS pvalue FROM a LEFT JOIN t USING ({keys}))"""
+
+
+@query("corr_pvalue", f"WITH k AS (SELECT site, {average_sql('value', 'site')} AS a, {average_sql('disc', 'site')} AS b FROM hist), c AS (SELECT site, corr(a, b) AS r, count(*) AS n FROM k GROUP BY site) SELECT site, 1 AS grp, {R6('pvalue')} AS pvalue FROM {pvalue_sql('c', 'site')}")
 def corr_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.corr_btw_var(Series(spark, sf).hist, ("value", "disc"), output="pvalue", by=BY), "pvalue")
 
@@ -542,12 +596,18 @@ for _output, _sql in {"slope": "regr_slope(m, k)", "intercept": "regr_intercept(
         return rounded(R.trend(Series(spark, sf).hist, "time.month", output, BY), output)
 
 
-@query("trend_pvalue")
+@query("trend_pvalue", f"""WITH p AS (SELECT site, date_trunc('year', time) AS p, avg(value) AS m FROM hist GROUP BY ALL), k AS (SELECT site, m, (row_number() OVER (PARTITION BY site ORDER BY p) - 1)::DOUBLE AS k FROM p),
+    c AS (SELECT site, corr(m, k) AS r, count(*) AS n FROM k GROUP BY site) SELECT site, 1 AS grp, {R6('pvalue')} AS pvalue FROM {pvalue_sql('c', 'site')}""")
 def trend_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.trend(Series(spark, sf).hist, "time", "pvalue", BY), "pvalue")
 
 
-@query("return_value")
+@query("return_value", f"""WITH e AS (SELECT site, month(time) AS grp, max(value) AS x FROM daily WHERE st = 'F' GROUP BY site, month(time), year(time)),
+    o AS (SELECT *, (row_number() OVER (PARTITION BY site, grp ORDER BY x) - 1)::DOUBLE AS i, count(*) OVER (PARTITION BY site, grp)::DOUBLE AS n FROM e),
+    b AS (SELECT site, grp, n, avg(x) AS b0, sum(i * x) / (n * (n - 1)) AS b1, sum(i * (i - 1) * x) / (n * (n - 1) * (n - 2)) AS b2 FROM o WHERE n > 2 GROUP BY site, grp, n),
+    l AS (SELECT site, grp, b0, 2 * b1 - b0 AS l2, (6 * b2 - 6 * b1 + b0) / (2 * b1 - b0) AS t3 FROM b), z AS (SELECT *, 2 / (3 + t3) - ln(2) / ln(3) AS z FROM l), c AS (SELECT *, 7.859::DOUBLE * z + 2.9554::DOUBLE * z * z AS c FROM z),
+    d AS (SELECT *, gamma(1 + c) AS g, l2 * c / (gamma(1 + c) * (1 - power(2, -c))) AS scale FROM c)
+    SELECT site, grp::INTEGER AS grp, round(b0 - scale * (1 - g) / c + scale * (1 - power(-ln(0.9::DOUBLE), c)) / c + 3.7e-10, 4) + 0.0 AS return_value FROM d""")
 def return_value(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.return_value(Series(spark, sf).daily.where("st = 'F'"), 10, "max", "PWM", "time.month", BY), "return_value", digits=4)
 
@@ -600,8 +660,8 @@ def taylor(spark: SparkSession, sf: str) -> DataFrame:
 
 # sites in space
 
-NATIONS = """WITH n AS (SELECT s_nationkey AS site, CAST(l_shipdate AS DATE) AS time, l_linestatus AS st, CAST(SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100000 AS value FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-07-01' AND s_nationkey < 8 GROUP BY ALL),
-    c AS (SELECT n_nationkey AS site, n_nationkey * 1.5::DOUBLE AS lon, 45 + (n_nationkey % 3) * 0.5::DOUBLE AS lat FROM nation WHERE n_nationkey < 8)"""
+NATIONS = """WITH n AS (SELECT s_nationkey AS site, CAST(l_shipdate AS DATE) AS time, l_linestatus AS st, CAST(SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100000 AS value FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+    c AS (SELECT n_nationkey AS site, n_nationkey * 1.5::DOUBLE AS lon, 45 + (n_nationkey % 3) * 0.5::DOUBLE AS lat FROM nation)"""
 
 
 def spearman_sql(st: str, name: str) -> str:
@@ -613,10 +673,10 @@ KM = "6367.0::DOUBLE * atan2(sqrt((cos(radians(y.lat)) * sin(radians(y.lon - x.l
 
 
 def nations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_shipdate >= TIMESTAMP_NTZ '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP_NTZ '1996-07-01 00:00:00'")
-    own = lines.join(spark.read.parquet(f"{sf}/supplier.parquet").where("s_nationkey < 8").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    own = lines.join(spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     series = own.groupBy(F.col("s_nationkey").alias("site"), F.col("l_shipdate").cast("date").alias("time"), F.col("l_linestatus").alias("st")).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double") / 100000).alias("value"))
-    sites = spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey < 8").select(F.col("n_nationkey").alias("site"), (F.col("n_nationkey") * 1.5).alias("lon"), (45 + F.col("n_nationkey") % 3 * 0.5).alias("lat"))
+    sites = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("site"), (F.col("n_nationkey") * 1.5).alias("lon"), (45 + F.col("n_nationkey") % 3 * 0.5).alias("lat"))
     return series, sites
 
 
@@ -691,7 +751,25 @@ def multivariate(name: str, f, **options) -> None:
         return rounded(f(*frames, VARIABLES, by=BY, **options), *VARIABLES, digits=4)
 
 
-multivariate("principal_components", V.principal_components)
+def axes_sql(table: str, name: str) -> str:
+    """Table `name` of principal directions u, v (first) and -v, u, and the spreads s1, s2 along them, of value and qty."""
+    return f"""{name}_c AS (SELECT site, var_samp(value) AS a, covar_samp(value, qty) AS b, var_samp(qty) AS d, avg(value) AS m0, avg(qty) AS m1 FROM {table} GROUP BY site),
+    {name}_e AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS l1, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS l2 FROM {name}_c),
+    {name} AS (SELECT site, m0, m1, sqrt(l1) AS s1, sqrt(l2) AS s2, b / sqrt(b * b + (l1 - a) ** 2) AS u, (l1 - a) / sqrt(b * b + (l1 - a) ** 2) AS v FROM {name}_e)"""
+
+
+# of the four ways to point the axes the one that comes nearest to leaving a point where it is
+@query("principal_components", f"""WITH {axes_sql('ref', 'r')}, {axes_sql('hist', 'h')}, g AS (SELECT * FROM (SELECT unnest([-1, 1]) AS g1) CROSS JOIN (SELECT unnest([-1, 1]) AS g2)),
+    t AS (SELECT r.site, r.m0, r.m1, g1 * r.s1 / h.s1 * r.u * h.u + g2 * r.s2 / h.s2 * r.v * h.v AS t00, g1 * r.s1 / h.s1 * r.u * h.v - g2 * r.s2 / h.s2 * r.v * h.u AS t01, g1 * r.s1 / h.s1 * r.v * h.u - g2 * r.s2 / h.s2 * r.u * h.v AS t10, g1 * r.s1 / h.s1 * r.v * h.v + g2 * r.s2 / h.s2 * r.u * h.u AS t11 FROM r JOIN h USING (site), g),
+    best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY site ORDER BY (t00 - 1) ** 2 + t01 ** 2 + t10 ** 2 + (t11 - 1) ** 2) = 1),
+    x AS (SELECT site, time, value - avg(value) OVER (PARTITION BY site) AS x0, qty - avg(qty) OVER (PARTITION BY site) AS x1 FROM sim)
+    SELECT site, time, round(m0 + t00 * x0 + t01 * x1 + 3.7e-10, 4) + 0.0 AS value, round(m1 + t10 * x0 + t11 * x1 + 3.7e-10, 4) + 0.0 AS qty FROM x JOIN best USING (site)""")
+def principal_components(spark: SparkSession, sf: str) -> DataFrame:
+    s = Series(spark, sf)
+    model = A.train("principal_components", s.ref, s.hist, variables=VARIABLES, by=BY)
+    return rounded(model.adjust(s.sim), *VARIABLES, digits=4)
+
+
 multivariate("npdf_transform", V.npdf_transform)
 multivariate("mbcn", V.mbcn)
 multivariate("mbcn_5d", V.mbcn, group="5D", window=7)
@@ -703,4 +781,5 @@ multivariate("dotc", V.dotc, bin_width=[40.0, 60.0])
 def extremes(spark: SparkSession, sf: str) -> DataFrame:
     s = Series(spark, sf)
     scen = A.train("eqm", s.ref, s.hist, by=BY).adjust(s.sim).select("site", "time", F.col("scen").alias("value"))
-    return rounded(V.extreme_values(s.ref, s.hist, s.sim, scen, cluster_thresh=120.0, q_thresh=0.9, by=BY), "value", digits=4)
+    model = A.train("extreme_values", s.ref, s.hist, cluster_thresh=120.0, q_thresh=0.9, by=BY)
+    return rounded(model.adjust(s.sim, scen=scen), "value", digits=4)
