@@ -7,7 +7,9 @@ from pyspark.sql import Row
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from tidemark.llm import bpe, decontamination, near_dedup  # noqa: E402
+from test_corpus_operators import mixed_texts, plain_classes, plain_hits, plain_quality, plain_terms, plain_spans  # noqa: E402
+
+from tidemark.llm import bpe, decontamination, near_dedup, pii  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "text string, doc_id long, lang string, _doc string, _text string, score double, spans string, _row string, n_chars long"
@@ -49,3 +51,45 @@ def test_stages_on_driver_rows(spark):
     own = bpe.codec(bpe.default_path())
     for r in corpus_pipeline.tokens(spark, safe, SF).collect():
         assert own.decode(r.ids).decode() == (texts[r.doc_id] or "") and r.n_tokens == len(r.ids)
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers
+
+    rnd = random.Random(3)
+    item = " ".join(rnd.choices("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split(), k=20))
+    texts = mixed_texts(30, seed=9)
+    long = texts[1] + " " + texts[2]
+    new = mixed_texts(6, seed=21)
+    texts += [long, long + " and one word more", long, f"{texts[4]} {item} {texts[5]}", f"{new[1]} The wombat of ann@firm.org, call +44 55 66 77 88.", f"{new[2]} The wombat of bob@firm.org", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    # quality
+    own = [(i, t, score) for i, (t, score) in enumerate(zip(texts, plain_quality([t or "" for t in texts])[1]))]
+    assert all(abs(score - 0.5) > 1e-3 for _, _, score in own)
+    docs = [(i, t) for i, t, score in own if score >= 0.5]
+    # copies
+    label = plain_classes([t or "" for _, t in docs])
+    docs = [d for k, d in enumerate(docs) if label[k] == k]
+    # benchmark
+    kept = []
+    for i, t in docs:
+        words = decontamination.words(t or "")
+        n, hit, names = plain_hits([t or ""], [("1", item)], 13)[0]
+        if hit:
+            assert names == ["1"] and hit == 20 < n
+            begin = next(k for k in range(n) if list(words[k : k + 20]) == list(decontamination.words(item)))
+            t = decontamination.without(t, [begin, begin + 20])
+            assert item not in t
+        kept.append((i, t))
+    # personal data
+    spans = [[*plain_spans(t or ""), *added] for (_, t), added in zip(kept, plain_terms([t or "" for _, t in kept]))]
+    safe = {i: t if t is None else pii.redacted(t, s) for (i, t), s in zip(kept, spans)}
+    assert any("[EMAIL]" in (t or "") for t in safe.values())
+    # tokens
+    ranks = bpe.codec(bpe.default_path()).ranks
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: (list(r.ids), r.n_tokens) for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
+    assert got == {i: (ids := other.encode_ordinary(t or ""), len(ids)) for i, t in safe.items()}
+    assert 15 < len(got) < 30

@@ -141,10 +141,38 @@ def test_licences(spark):
     df = spark.createDataFrame([Row(doc_id=i, text=t, sequence="clash", licences="clash") for i, t in enumerate(texts)], "doc_id long, text string, sequence string, licences string")
     got = {r.doc_id: r for r in licences.scan(df).collect()}
     assert [got[i].licences for i in range(7)] == ["", "", "MIT", "Apache-2.0", "CC-BY-NC-4.0,Proprietary", "", "MIT"]
-    assert got[3].sequence == "<5><6><7>" and got[4].kind == "restricted" and got[0].kind == "none" and got[0].n_sentences == 0
+    assert got[3].sequence == "".join(f"<{i}>" for n in ("apache_short", "apache_use", "apache_warranty") for i in licences.OF_NOTICE[n]) and got[4].kind == "restricted" and got[0].kind == "none" and got[0].n_sentences == 0
     assert licences.scan(df.limit(0)).collect() == []
 
 
+def test_whole_licences_wrapped_and_in_comments(spark):
+    import textwrap
+
+    mit = ["MIT License", "Copyright (c) 2020 Some Body", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.']
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+    names = ["3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    apache = ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "    http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.']
+    wanted = {"MIT": mit, "BSD-2-Clause": bsd, "BSD-3-Clause": bsd + names, "GPL-2.0-or-later": [gpl], "MPL-2.0": [mpl], "ISC": [isc], "Apache-2.0": apache}
+    rows, want = [], {}
+    for name, parts in wanted.items():
+        for width in (58, 72, 80):
+            for mark in ("", " * ", "# ", "// "):
+                lines = "\n\n".join(textwrap.fill(p, width) for p in parts).split("\n")
+                head = "/*\n" if mark == " * " else ""
+                want[len(rows)] = name
+                rows.append(head + "".join((mark + x).rstrip() + "\n" for x in lines) + ("*/\n" if head else "") + "\nint main() { return 0; }")
+    # a notice on a line of its own among lines without an end
+    want[len(rows)] = "CC-BY-4.0"
+    rows.append("some heading without a stop\nLicensed under CC BY 4.0\nand a text that goes on")
+    want[len(rows)] = ""
+    rows.append(f"{gpl[:100]}, or so it was said of the GNU licence.\r\n\r\nNothing else")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(df).collect()} == want
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vectors = rng.integers(-6, 7, (700, 5))
