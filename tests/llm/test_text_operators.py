@@ -173,6 +173,49 @@ def test_whole_licences_wrapped_and_in_comments(spark):
     assert {r.doc_id: r.licences for r in licences.scan(df).collect()} == want
 
 
+def test_files_have_indexes_filters_and_run_lengths(spark, tmp_path):
+    """What the ORC footers say, and a read of one document that leaves the other stripes out."""
+    import pyarrow.orc as orc
+
+    to = f"{tmp_path}/ids"
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices("alpha beta gamma delta".split(), k=200)) for _ in range(6000)]
+    df = spark.createDataFrame([(2 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    token_files.write(df, f"file://{to}")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    import glob
+
+    files = sorted(glob.glob(f"{to}/*.orc"))
+    assert len(files) > 1
+    first = []
+    for name in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{name}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == token_files.STRIDE and reader.getCompressionKind().toString() == "ZSTD"
+        rows = reader.rows()
+        footer = rows.readStripeFooter(reader.getStripes().get(0)) if hasattr(rows, "readStripeFooter") else None
+        if footer is not None:
+            kinds = [footer.getStreams(i).getKind().toString() for i in range(footer.getStreamsCount())]
+            assert "BLOOM_FILTER_UTF8" in kinds and "ROW_INDEX" in kinds
+            # integers in the second run-length encoding
+            assert {footer.getColumns(i).getKind().toString() for i in range(1, footer.getColumnsCount())} == {"DIRECT_V2"}
+        ids = orc.ORCFile(name).read(columns=["doc_id"])["doc_id"].to_pylist()
+        assert ids == sorted(ids)
+        first.append(ids[0])
+    assert first == sorted(first)
+    assert spark.read.orc(f"file://{to}").where("doc_id = 3001").count() == 0  # odd: within the range, ruled out by the filter
+    assert spark.read.orc(f"file://{to}").where("doc_id = 3000").count() == 1
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,3000)]" in spark.read.orc(f"file://{to}").where("doc_id = 3000")._jdf.queryExecution().toString()
+
+
+def test_written_paths_are_cleared(spark, tmp_path):
+    from tidemark.llm import common
+
+    df = common.stored(spark.range(3))
+    assert df.count() == 3 and common.WRITTEN
+    assert common.cleared(spark) > 0 and not common.WRITTEN
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vectors = rng.integers(-6, 7, (700, 5))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,14 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @functools.cache
 def own_dir() -> str:
-    """One temporary folder a driver; on a cluster spark.checkpoint.dir is set, and this isn't called."""
+    """One temporary folder a driver that is a whole machine's Spark by itself."""
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
+#: Paths that this driver has written.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or own_dir()
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share, spark.checkpoint.dir. Where that is unset: in the warehouse on a cluster, a temporary one if Spark runs in this process alone."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        alone = re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master)
+        base = own_dir() if alone else spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes what this driver has written to the shared folder; results that haven't been read or written elsewhere are lost. Gives the number of paths."""
+    jvm = spark.sparkContext._jvm
+    n = 0
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def stored(df: DataFrame) -> DataFrame:
