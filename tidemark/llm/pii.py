@@ -1,7 +1,10 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms around them.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value found is an
-entity to protect. Terms are the words outside base spans of the documents that hold it; over the whole
+entity to protect, and so is the class that it belongs to: the domain of an address, the first three parts
+of an IP address, the issuer's digits of a card, the first digits of a phone number. Classes are met in
+more documents than values, so that words that give away an employer, a network, a bank or a place have
+counts to show. Terms are the words outside base spans of the documents that hold it; over the whole
 corpus
 
     n(t, e)   documents that hold both t and e
@@ -18,7 +21,11 @@ none of the sanitised ones, has both any more.
 
 The corpus is read once for spans, entities and terms; that table (only texts with personal data have
 terms in it, and are themselves there) is written to the shared folder and everything else derives from
-it. Counting n(t) reads the words once more, against blocks of candidate terms of a fixed size.
+it. Counting n(t) reads the words once more: tasks count in tables of bounded size, whose rows are added up
+by term. Of all pairs of an entity and a term those whose n(e) and n(t) alone keep the disclosure below the
+threshold, whatever n(t, e) is, are left out before they are counted. Nothing that grows with the corpus goes
+through the driver or is broadcast, and both sides of the joins by term and by entity are stored before, so
+that the optimiser can split a common one.
 
 Edge cases: null and empty texts have no spans; repeated rows get the same spans each and count as
 documents; keys may be null or repeated, as rows are told apart by key and text; an empty table gives an
@@ -38,6 +45,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import chunks, packed, stored, table, unpacked
 
 KINDS = ["email", "ip", "card", "phone"]
+#: What a class of each kind is.
+CLASSES = ["domain", "net", "issuer", "region"]
 #: Added spans, behind the base kinds in order.
 TERM_KINDS = ["generalised", "removed"]
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -52,8 +61,10 @@ LETTERS = bytes(c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c i
 GENERALISE, REMOVE = 0.6, 0.85
 #: Deviates of the confidence bound: 99 in 100, two-sided.
 Z = 2.576
-#: Candidate terms that one pass over the words counts.
-BLOCK = 200_000
+#: Terms that a task counts before it passes their counts on.
+HELD = 500_000
+#: Digits that tell the issuer of a card, and the region of a phone number.
+ISSUER, REGION = 6, 4
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -96,6 +107,17 @@ def entity(text: str, kind: int) -> str:
     return f"{KINDS[kind]}:{text.lower() if kind < 2 else re.sub(r'[^0-9]', '', text)}"
 
 
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """The values that a text holds, and their classes."""
+    out = set()
+    for start, end, kind in spans:
+        value = entity(text[start:end], kind)
+        bare = value.split(":", 1)[1]
+        wide = {0: bare.rpartition("@")[2], 1: bare.rpartition(".")[0], 2: bare[:ISSUER], 3: bare[:REGION]}[kind]
+        out |= {value, f"{CLASSES[kind]}:{wide}"}
+    return sorted(out)
+
+
 def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
     """(term, start, end): the words that no span touches; spans are in order."""
     out, k, last = [], 0, 0
@@ -126,7 +148,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         for part, texts in chunks(batches):
             found = [base_spans(x) for x in texts]
             spans = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in found], SPANS)
-            entities = pa.array([sorted({entity(x[a:b], k) for a, b, k in s}) for x, s in zip(texts, found)], pa.list_(pa.string()))
+            entities = pa.array([entities_of(x, s) for x, s in zip(texts, found)], pa.list_(pa.string()))
             terms = pa.array([sorted({t for t, _, _ in outside(x, s)}) if s else [] for x, s in zip(texts, found)], pa.list_(pa.string()))
             held = pa.array([x if s else None for x, s in zip(texts, found)], pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), spans, entities, terms, held], names=[key, "_row", "base", "entities", "terms", "_held"])
@@ -134,26 +156,26 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, _row string, base {SPANS_SQL}, entities array<string>, terms array<string>, _held string")
 
 
-def holding(df: DataFrame, terms: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(term, n_docs): documents that hold each of the terms, in passes of a bounded number of terms."""
-    n = -(-terms.count() * 5 // (4 * block)) or 1
-    out = None
-    for b in range(n):
-        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == b) if n > 1 else terms
-        shared = df.sparkSession.sparkContext.broadcast(frozenset(r[0].encode() for r in part.toLocalIterator()))
+def frequencies(df: DataFrame, text: str = "text", most: int = HELD) -> DataFrame:
+    """(term, n_docs): documents that hold each term of the corpus, in one pass; a task adds up before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter[bytes] = Counter()
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            count: Counter[bytes] = Counter()
-            wanted = shared.value
-            if wanted:
-                for _, texts in chunks(batches, text=0):
-                    for x in texts:
-                        count.update(wanted.intersection(x.encode().translate(LETTERS).split()) if x.isascii() else wanted.intersection(m.lower().encode("utf-8", "surrogatepass") for m in set(TERM.findall(x))))
-            yield pa.RecordBatch.from_arrays([pa.array([t.decode() for t in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n_docs"])
+        def full() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([t.decode("utf-8", "surrogatepass") for t in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["term", "n_docs"])
+            count.clear()
+            return out
 
-        one = df.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "term string, n_docs bigint")
-        out = one if out is None else out.unionAll(one)
-    return out.groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
+        for _, texts in chunks(batches, text=0):
+            for x in texts:
+                count.update({t for t in x.encode().translate(LETTERS).split() if len(t) > 1} if x.isascii() else {m.lower().encode("utf-8", "surrogatepass") for m in set(TERM.findall(x))})
+                if len(count) > most:
+                    yield full()
+        yield full()
+
+    one = df.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "term string, n_docs bigint")
+    return one.groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def bounded(k: Column, n: Column, z: float) -> Column:
@@ -164,16 +186,24 @@ def bounded(k: Column, n: Column, z: float) -> Column:
 
 def disclosing(df: DataFrame, found: DataFrame, text: str = "text", z: float = Z, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(entity, term, disclosure, kind): the pairs beyond the thresholds."""
-    pairs = found.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = stored(pairs.join(entities, "entity"))
     n = found.count()
     total = F.lit(float(max(n, 2)))
-    counted = pairs.join(holding(df, pairs.select("term").distinct(), text), "term")
-    # a term is in as many documents as hold it with an entity at least; one whose entity is everywhere discloses nothing
-    pmi = F.log(total * bounded(F.col("n_both"), F.col("n_entity"), z) / F.greatest("n_docs", "n_both"))
-    share = F.when(F.col("n_entity") < total, pmi / F.log(total / F.col("n_entity"))).otherwise(0.0)
-    return counted.withColumn("disclosure", share).where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, 5).otherwise(4).alias("kind"))
+    counts = stored(frequencies(df, text))
+    own = stored(found.where(F.size("terms") > 0).select(F.monotonically_increasing_id().alias("_d"), "entities", "terms"))
+    entities = stored(own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")))
+    # words of a document with their counts, and its entities with theirs
+    terms = own.select("_d", F.explode("terms").alias("term")).join(counts, "term").groupBy("_d").agg(F.collect_list(F.struct("term", "n_docs")).alias("terms"))
+    named = own.select("_d", F.explode("entities").alias("entity")).join(entities, "entity")
+
+    def share(both: Column, n_docs: Column) -> Column:
+        # a term is in as many documents as hold it with an entity at least; one whose entity is everywhere discloses nothing
+        pmi = F.log(total * bounded(both, F.col("n_entity"), z) / F.greatest(n_docs, both))
+        return F.when(F.col("n_entity") < total, pmi / F.log(total / F.col("n_entity"))).otherwise(0.0)
+
+    # of the words of a document only those go on whose counts leave them a chance, however often they stand beside the entity
+    chance = named.join(terms, "_d").select("entity", "n_entity", F.explode(F.filter("terms", lambda t: share(F.least(F.col("n_entity"), t["n_docs"]), t["n_docs"]) >= generalise)).alias("t"))
+    pairs = chance.groupBy("entity", F.col("t.term").alias("term"), "n_entity", F.col("t.n_docs").alias("n_docs")).agg(F.count("*").alias("n_both"))
+    return pairs.withColumn("disclosure", share(F.col("n_both"), F.col("n_docs"))).where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove, 5).otherwise(4).alias("kind"))
 
 
 def spans(df: DataFrame, key: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
@@ -181,7 +211,8 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", **thresholds)
     found = stored(scan(df, key, text))
     pairs = disclosing(df, found, text, **thresholds)
     kinds = {"generalised": 4, "removed": 5}
-    own = pairs.groupBy("entity").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(f"_{name}") for name, k in kinds.items()))
+    # terms beyond the thresholds only: less than the words of the documents of an entity
+    own = stored(pairs.groupBy("entity").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(f"_{name}") for name, k in kinds.items())))
     # of the terms of an entity, those in the row
     near = found.where(F.size("terms") > 0).select("_row", "entities", "terms").dropDuplicates(["_row"]).select("_row", "terms", F.explode("entities").alias("entity"))
     hit = near.join(own, "entity").select("_row", *(F.array_intersect("terms", f"_{name}").alias(name) for name in kinds))
@@ -240,5 +271,7 @@ def sanitise(df: DataFrame, key: str = "doc_id", text: str = "text", **threshold
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(table(spark, sf_dir, "documents"))
     every = ordered(F.concat("base", "added"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    # F.filter gives a function of two arguments the index as well
+    of_kind = lambda k: lambda s: s["kind"] == k
+    count = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *count, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(every).alias("spans"), F.size("added").cast("long").alias("n_terms"))
