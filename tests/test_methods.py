@@ -444,6 +444,18 @@ def test_zero_shares_and_constant_series(spark):
     assert D.polynomial(wet, degree=4, by=["site"]).where("trend IS NOT NULL").count() == 0
 
 
+def test_frequency_adaptation_by_given_shares(spark):
+    rng = np.random.default_rng(10)
+    ref, sim = (series(spark, [0.0 if x < share else 1 + x for x in rng.random(300)]) for share in (0.2, 0.5))
+    out, shares = P.adapt_freq(ref, sim, "time", 0.5, ["site"])
+    again, _ = P.adapt_freq(None, sim, "time", 0.5, ["site"], shares=shares.select("site", "grp", "P0_ref", "P0_hist", "pth"))
+    assert again.exceptAll(out).isEmpty() and abs(out.where("value <= 0.5").count() - ref.where("value <= 0.5").count()) <= 2
+    with pytest.raises(ValueError):
+        P.adapt_freq(None, sim, "time", 0.5, ["site"])
+    with pytest.raises(ValueError):
+        P.adapt_freq(None, sim, "time", 0.5, ["site"], shares=shares.drop("pth"))
+
+
 def test_energy_score_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x, y = rng.random((2, 60)), rng.random((2, 45)) + 0.2

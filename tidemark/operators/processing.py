@@ -55,9 +55,19 @@ def adapt_with(sim: DataFrame, shares: DataFrame, group: str, thresh: float, by:
     return own.withColumn(value, out).drop("_p0", "_place", "P0_ref", "P0_hist", "dP0", "pth")
 
 
-def adapt_freq(ref: DataFrame, sim: DataFrame, group: str, thresh: float, by: Sequence[str] = (), value: str = "value", seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(sim with `grp`, shares): frequency adaptation of dry values."""
-    shares = dry_shares(ref, sim, group, thresh, by, value)
+def adapt_freq(ref: DataFrame | None, sim: DataFrame, group: str | Grouper, thresh: float, by: Sequence[str] = (), value: str = "value", seed: int = 0, shares: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sim with `grp`, shares): frequency adaptation of dry values.
+
+    In place of ref, shares (by, grp, P0_ref, P0_hist, pth) of an earlier adaptation may be given, all of them or none.
+    """
+    if (ref is None) == (shares is None):
+        raise ValueError("either ref or shares are given")
+    if shares is not None:
+        if missing := {*by, "grp", "P0_ref", "P0_hist", "pth"} - set(shares.columns):
+            raise ValueError(f"shares lack {sorted(missing)}")
+        shares = shares.withColumn("dP0", F.try_divide(F.col("P0_hist") - F.col("P0_ref"), F.col("P0_hist")))
+    else:
+        shares = dry_shares(ref, sim, group, thresh, by, value)
     return adapt_with(sim, shares, group, thresh, by, value, seed=seed), shares
 
 
