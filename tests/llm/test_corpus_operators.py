@@ -249,6 +249,29 @@ def test_repeats_of_common_anchors(spark, heavy):
     assert [got[i] for i in range(len(texts))] == plain_removed(texts)
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+@pytest.mark.parametrize("heavy", [0, 5, 100])
+def test_anchors_met_again(spark, heavy, batch):
+    rnd = random.Random(heavy)
+    rows = [(g, b"%d" % i, i) for i, g in enumerate([*range(300), *rnd.choices(range(40), k=500), *[17] * 400])]
+    rnd.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = repeats.met_again(spark.createDataFrame(rows, "gram bigint, _row binary, at int").repartition(3), heavy).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted((r.gram, r.at) for r in out if r._row is not None)
+    count = Counter(g for g, _, _ in rows)
+    assert len(got) == len(set(got)) and set(got) >= {(g, i) for g, _, i in rows if count[g] > 1}
+    assert len(got) - sum(n for n in count.values() if n > 1) <= 2 * 4  # at most those at the ends of ranges
+    told = Counter()
+    for r in out:
+        if r._row is None:
+            told[r.gram] += r.n
+    assert {g for g, n in told.items() if n > heavy} == {g for g, n in count.items() if n > heavy}
+    assert all(told[g] == n for g, n in count.items() if n > heavy)
+
+
 def test_row_ids_tell_key_and_text_apart(spark):
     df = spark.createDataFrame([("a", ":b"), ("a:", "b"), ("a", ":b"), (None, "x"), ("null", "x")], "key string, text string")
     assert df.select(repeats.row_id("key", "text")).distinct().count() == 4
