@@ -297,8 +297,8 @@ class Joins:
     """Ranks by pairs of ids."""
 
     def __init__(self, pairs: np.ndarray, ranks: np.ndarray):
-        self.mask = (1 << (4 * len(pairs) - 1).bit_length()) - 1
-        self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NEVER, np.int64)
+        self.mask = (1 << (2 * len(pairs) - 1).bit_length()) - 1
+        self.keys, self.ranks = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NEVER, np.int32)
         at = self.places(pairs)
         while len(pairs):
             free = self.keys[at] < 0

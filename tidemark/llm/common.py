@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points that one chunk of whole texts holds before it is worked on.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed_path(df: DataFrame) -> None:
+    """Deletes the files of a stored() table that nothing needs any more: what was made of it is stored itself."""
+    sc = df.sparkSession.sparkContext
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches of about `most` code points (more if one text is longer) with their texts, nulls as empty."""
     for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, packed, stored, table, unpacked
+from tidemark.llm.common import CHUNK, chunks, packed, stored, table, unpacked
 from tidemark.llm.decontamination import SYMBOLS, words_sql
 from tidemark.llm.quality import hashed, mixed
 
@@ -160,7 +160,7 @@ def sketched(df: DataFrame, key: str, text: str) -> DataFrame:
     one = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, most=1 << 19):
+        for part, texts in chunks(batches, most=CHUNK // 2):
             own = Shingled(texts)
             rows = signatures(own.doc, own.shingle, own.weight, len(texts))
             some = own.n_words > 0
@@ -223,7 +223,7 @@ def elements(texts: DataFrame) -> DataFrame:
     """(digest, elements): the shingles of each text, the second of a kind told from the first and so on, so that weights become sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, own in chunks(batches):
+        for part, own in chunks(batches, most=CHUNK // 2):
             found = Shingled(own)
             copy = np.arange(int(found.weight.sum())) - np.repeat(np.cumsum(found.weight) - found.weight, found.weight)
             names = mixed(np.repeat(found.shingle, found.weight) + copy.astype(np.uint64) * SALT).view(np.int64)
@@ -244,8 +244,9 @@ def similar(flat: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
     column = np.cumsum(new & ~alone)[~alone] - 1  # elements of one set only add nothing
     owner = owner[~alone]
     both = np.zeros((n, n), np.float32)
-    step = max(1, ENTRIES // max(n, 1))
-    cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + step + 1, step))
+    n_columns = int(column[-1]) + 1 if len(column) else 0
+    step = max(1, min(n_columns, ENTRIES // max(n, 1)))
+    cuts = np.searchsorted(column, np.arange(0, n_columns + step, step))
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         rows, at = np.unique(owner[a:b], return_inverse=True)
         part = np.zeros((len(rows), step), np.float32)

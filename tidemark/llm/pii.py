@@ -62,7 +62,7 @@ GENERALISE, REMOVE = 0.6, 0.85
 #: Deviates of the confidence bound: 99 in 100, two-sided.
 Z = 2.576
 #: Terms that a task counts before it passes their counts on.
-HELD = 500_000
+HELD = 150_000
 #: Digits that tell the issuer of a card, and the region of a phone number.
 ISSUER, REGION = 6, 4
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm.common import chunks, table
+from tidemark.llm.common import CHUNK, chunks, table
 
 #: Documents, at most about, that the scorer is fitted on.
 SAMPLE = 4000
@@ -263,7 +263,7 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[
     one = df.select(F.xxhash64(key, text).alias("_hash"), F.col(text).cast("string").alias("_text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, most=CHUNK // 2):
             yield pa.RecordBatch.from_arrays([pa.array(patterns(Measured(texts).votes()), pa.int64())], names=["pattern"])
 
     counted = one.mapInArrow(vote, "pattern bigint").groupBy("pattern").count().orderBy("pattern").collect()
@@ -275,7 +275,7 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[
     top = min(2**63 - 1, int(2**64 * min(1.0, sample / max(total, 1))) - 2**63)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, most=CHUNK // 2):
             own = Measured(texts)
             found = list(own.features())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(patterns(own.votes()), pa.int64()), pa.array([w.astype(np.int32) for w, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], names=["_hash", "pattern", "which", "value"])
@@ -289,7 +289,7 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, pattern, posterior = shared.value
         weights = weights.astype(np.float64)
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, most=CHUNK // 2):
             own = Measured(texts)
             weak = posterior[np.searchsorted(pattern, patterns(own.votes()))]
             found = own.scores(weights, bias)
