@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, table
+from tidemark.llm.common import chunks, mapped, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pieces beyond which a worker's cache starts anew with the next chunk.
@@ -457,7 +457,7 @@ def encode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), offsets], names=[key, "ids", "offsets"])
         own.forget()
 
-    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, offsets array<bigint>")
+    return one.transform(mapped, run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, offsets array<bigint>")
 
 
 def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -470,7 +470,7 @@ def decode(df: DataFrame, path: str | None = None, key: str = "doc_id", ids: str
             out = [own.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[key, "decoded"])
 
-    return df.select(F.col(key), F.col(ids).alias("_ids")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, decoded binary")
+    return df.select(F.col(key), F.col(ids).alias("_ids")).transform(mapped, run, f"`{key}` {df.schema[key].dataType.simpleString()}, decoded binary")
 
 
 def digests(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -490,7 +490,7 @@ def digests(df: DataFrame, path: str | None = None, key: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=[key, "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256"])
         own.forget()
 
-    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens bigint, n_bytes bigint, ids_sha256 string, decoded_sha256 string")
+    return one.transform(mapped, run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens bigint, n_bytes bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, table
+from tidemark.llm.common import chunks, mapped, table
 
 WINDOW = 13
 #: Code points of a shard (more if one text is longer).
@@ -242,7 +242,7 @@ def search(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                     names.append(sorted({*before, *found}))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=part.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.transform(mapped, run, schema)
     return out.select(F.col("_key").alias(key), *(F.col(f"_rest.`{c}`").alias(c) for c in keep), F.col("_text").alias(text), F.col("_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
 
 

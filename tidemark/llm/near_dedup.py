@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import CHUNK, chunks, packed, stored, table, unpacked
+from tidemark.llm.common import CHUNK, chunks, mapped, packed, stored, table, unpacked
 from tidemark.llm.decontamination import SYMBOLS, words_sql
 from tidemark.llm.quality import hashed, mixed
 
@@ -44,6 +44,8 @@ COORDINATES = BANDS * ROWS
 #: Darts that a text throws at first.
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 LOWEST = 2.0**-6
+#: Code points that a short text counts as: it throws as many darts as a long one.
+SHORT = 1024
 SALT = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -160,14 +162,14 @@ def sketched(df: DataFrame, key: str, text: str) -> DataFrame:
     one = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, most=CHUNK // 2):
+        for part, texts in chunks(batches, most=CHUNK // 2, least=SHORT):
             own = Shingled(texts)
             rows = signatures(own.doc, own.shingle, own.weight, len(texts))
             some = own.n_words > 0
             hashes = pa.array([b if s else None for b, s in zip(bands(rows), some)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest_of(x) for x in texts], pa.binary()), hashes], names=[key, "digest", "bands"])
 
-    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, digest binary, bands array<bigint>")
+    return one.transform(mapped, run, f"`{key}` {df.schema[key].dataType.simpleString()}, digest binary, bands array<bigint>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -177,6 +179,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
+def pair_chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, dict[bytes, str]]]:
+    """Slices of batches of (a, b, text of a, text of b) whose different texts have about `most` code points (more if a pair is longer), with these texts by digest."""
+    for batch in batches:
+        names: dict[bytes, str] = {}
+        begin = total = 0
+        for i, (a, b, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+            new = {d: t for d, t in ((a, x), (b, y)) if d not in names}
+            if total and total + sum(map(len, new.values())) > most:
+                yield batch.slice(begin, i - begin), names
+                names, begin, total, new = {}, i, 0, {a: x, b: y}
+            names |= new
+            total += sum(map(len, new.values()))
+        if begin < batch.num_rows:
+            yield batch.slice(begin), names
+
+
 def checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those (a, b) of the pairs whose texts are similar enough. texts: (digest, text)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
@@ -184,19 +202,14 @@ def checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = pairs.join(own.select(F.col("digest").alias("a"), F.col("text").alias("_a")), "a").join(own.select(F.col("digest").alias("b"), F.col("text").alias("_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                names = {}
-                for digest, text in ((0, 2), (1, 3)):
-                    names.update(zip(part.column(digest).to_pylist(), part.column(text).to_pylist()))
-                shingled = Shingled(list(names.values()))
-                cut = np.searchsorted(shingled.doc, np.arange(len(names) + 1))
-                sets = {d: (shingled.shingle[x:y], shingled.weight[x:y]) for d, x, y in zip(names, cut[:-1], cut[1:])}
-                keep = [similarity(sets[a], sets[b]) >= least for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for part, names in pair_chunks(batches):
+            shingled = Shingled(list(names.values()))
+            cut = np.searchsorted(shingled.doc, np.arange(len(names) + 1))
+            sets = {d: (shingled.shingle[x:y], shingled.weight[x:y]) for d, x, y in zip(names, cut[:-1], cut[1:])}
+            keep = [similarity(sets[a], sets[b]) >= least for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "_a", "_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "_a", "_b").transform(mapped, run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,7 +243,7 @@ def elements(texts: DataFrame) -> DataFrame:
             cuts = np.concatenate([[0], np.cumsum(np.bincount(found.doc, weights=found.weight, minlength=len(own)).astype(np.int64))])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(names))], names=["digest", "elements"])
 
-    return texts.select("digest", "text").mapInArrow(run, "digest binary, elements array<bigint>")
+    return texts.select("digest", "text").transform(mapped, run, "digest binary, elements array<bigint>")
 
 
 def similar(flat: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
@@ -334,7 +347,7 @@ def open_links(own: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         if held:
             yield from found(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.transform(mapped, run, "a binary, b binary").distinct()
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -383,7 +396,7 @@ def texts_by_digest(df: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                     seen.add(d)
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), part.column(0).take(pa.array(list(new.values()), pa.int32()))], names=["digest", "text"])
 
-    every = df.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "digest binary, text string")
+    every = df.select(F.col(text).cast("string").alias("_text")).transform(mapped, run, "digest binary, text string")
     return stored(every.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]))
 
 

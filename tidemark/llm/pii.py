@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, packed, stored, table, unpacked
+from tidemark.llm.common import chunks, mapped, packed, stored, table, unpacked
 
 KINDS = ["email", "ip", "card", "phone"]
 #: What a class of each kind is.
@@ -153,7 +153,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             held = pa.array([x if s else None for x, s in zip(texts, found)], pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), spans, entities, terms, held], names=[key, "_row", "base", "entities", "terms", "_held"])
 
-    return one.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, _row string, base {SPANS_SQL}, entities array<string>, terms array<string>, _held string")
+    return one.transform(mapped, run, f"`{key}` {df.schema[key].dataType.simpleString()}, _row string, base {SPANS_SQL}, entities array<string>, terms array<string>, _held string")
 
 
 def frequencies(df: DataFrame, text: str = "text", most: int = HELD) -> DataFrame:
@@ -174,7 +174,7 @@ def frequencies(df: DataFrame, text: str = "text", most: int = HELD) -> DataFram
                     yield full()
         yield full()
 
-    one = df.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "term string, n_docs bigint")
+    one = df.select(F.col(text).cast("string").alias("_text")).transform(mapped, run, "term string, n_docs bigint")
     return one.groupBy("term").agg(F.sum("n_docs").alias("n_docs"))
 
 
@@ -229,7 +229,7 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", **thresholds)
                 added.append([{"start": a, "end": b, "kind": kind[t]} for t, a, b in places if t in kind])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(added, SPANS)], names=[key, "_row", "base", "added"])
 
-    return one.select(key, "_row", "base", "_held", *kinds).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, _row string, base {SPANS_SQL}, added {SPANS_SQL}")
+    return one.select(key, "_row", "base", "_held", *kinds).transform(mapped, run, f"`{key}` {df.schema[key].dataType.simpleString()}, _row string, base {SPANS_SQL}, added {SPANS_SQL}")
 
 
 def written(spans_column: Column) -> Column:
